@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from benang.session import broadcast_if_small
+from benang.session import Scratch, broadcast_if_small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the split pattern published with the vocabulary
@@ -131,10 +131,10 @@ PLAN = "mix_name string, source string, target_share double, max_repeats int, to
 
 def plan(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, sizes: DataFrame | None = None) -> DataFrame:
     """Per mix and source: weights, passes, actual share, and whether the source falls short."""
-    sizes = sizes if sizes is not None else source_tokens(docs, path)
-    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all_tokens"))
+    sizes = Scratch(docs.sparkSession).save(sizes if sizes is not None else source_tokens(docs, path))
+    total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     t = targets.select("mix_name", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("max_repeats")).dropDuplicates(["mix_name", "source"])
-    rows = t.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).join(F.broadcast(total))
+    rows = t.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("all_tokens", F.lit(int(total)))
     return rows.groupBy("mix_name").applyInPandas(lambda p: mix_plan(p), PLAN)
 
 
@@ -145,7 +145,7 @@ def found(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFra
 def realise(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: str = "benang") -> DataFrame:
     """The mix itself: one row per mix, document and pass. Documents of a source are permuted by hash; running token
     sums are taken per block of the permutation and added up over blocks, so no source is ordered in one task."""
-    counts = token_counts(docs, path)
+    counts = Scratch(docs.sparkSession).save(token_counts(docs, path))
     plans = plan(docs, targets, path, sizes=counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))).where("budget_tokens > 0")
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
     blocks = counts.where("n_tokens > 0").withColumn("h", h).withColumn("block", F.substring("h", 1, 3))

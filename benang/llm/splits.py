@@ -11,6 +11,7 @@ once; an empty table gives empty results. Only the named columns are read.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from benang.functions.ids import filled_id
@@ -84,6 +85,6 @@ def shares(threads: DataFrame, weights: dict[str, float] | None = None) -> DataF
     total = sum(weights.values())
     per = assign(threads, weights).groupBy("split", "component").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("split").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_components"))
-    all_rows = per.agg(F.sum("n_rows").alias("all_rows"))
     goal = F.create_map(*[x for k, w in weights.items() for x in (F.lit(k), F.lit(w / total))])
-    return per.join(F.broadcast(all_rows)).select("split", "n_rows", "n_components", (F.col("n_rows") / F.col("all_rows")).alias("share"), goal[F.col("split")].alias("target_share"))
+    all_rows = F.sum("n_rows").over(W.partitionBy(F.lit(1)))  # one row per split
+    return per.select("split", "n_rows", "n_components", (F.col("n_rows") / all_rows).alias("share"), goal[F.col("split")].alias("target_share"))
