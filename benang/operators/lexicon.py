@@ -78,5 +78,7 @@ def rank(records: DataFrame, count: int) -> DataFrame:
 def coverage(df: DataFrame, text: str, mapping: DataFrame) -> DataFrame:
     """Entries, token occurrences they cover, and rows with at least one of them."""
     keys = valid_mapping(mapping).select(F.col("slang").alias("token"))
-    found = df.select(F.monotonically_increasing_id().alias("row"), F.explode(F.regexp_extract_all(F.lower(text_or_blank(F.col(text))), F.lit(f"({TOKEN})"), F.lit(1))).alias("token")).join(broadcast_if_small(keys, mapping), "token")
+    # the row number is given before tokens multiply the rows
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(F.lower(text_or_blank(F.col(text))), F.lit(f"({TOKEN})"), F.lit(1)).alias("tokens"))
+    found = rows.select("row", F.explode("tokens").alias("token")).join(broadcast_if_small(keys, mapping), "token")
     return found.agg(F.count_distinct("token").alias("n_entries_seen"), F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("row").alias("n_rows"))
