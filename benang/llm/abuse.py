@@ -42,7 +42,7 @@ class Parameters:
 
 INSULTS = frozenset(
     "goblok tolol bego dungu idiot brengsek bangsat bajingan kampret keparat sontoloyo pecundang sinting imbecile dumbass moron scumbag"
-    " kunyuk jancuk geblek biadab bejat laknat lonte jablay bangke bacot asshole bastard bitch retard stupid cunt fucker goblog ndasmu ndhasmu pekok"
+    " kunyuk jancuk geblek biadab bejat laknat lonte jablay bangke asshole bastard bitch retard stupid cunt fucker goblog ndasmu ndhasmu pekok"
     " gendheng jancok bedebah tengik bangsad anjrit kontol memek ngentot".split()
 )
 #: insults that also have a harmless sense
@@ -61,7 +61,7 @@ PHRASES = {
     "insult": [
         r"otak udang", r"otak di dengkul", r"otak kosong", r"iq se ?kolam\w*", r"mulut\w* bau bangkai", r"bau bangkai diam", r"lahir dari comberan", r"muka (?:lo|kamu|kau)? ?bikin eneg", r"bikin eneg", r"mukamu kayak", r"talenan bekas", r"muka tebal", r"isi kepala (?:lo|kalian|kamu|\w+) jerami",
         r"(?:tidak|kagak|ndak) punya otak", r"keturunan maling", r"turunan \w+ mau ngatur", r"darah\w* penipu", r"ibumu nyesel", r"nyesel ngelahirin", r"cacat mending", r"bikin jijik yang lihat", r"karung beras malu", r"badan kayak karung", r"malu dong sama kaca", r"go cry somewhere", r"makan tuh piring",
-        r"jilat terus sampai kering", r"tukang jilat", r"shut up you", r"you are such a", r"what a worthless", r"kok dipelihara", r"punya akun", r"yang (?:bela|masak) (?:lebih )?\w+$", r"semua nih pengurus\w*", r"kayak lo mending diam", r"mending diam", r"maneh mah", r"kowe \w+ tenan", r"gimana punya otak",
+        r"jilat terus sampai kering", r"tukang jilat", r"shut up you", r"you are such a", r"what a worthless", r"kok dipelihara", r"punya akun", r"yang (?:bela|masak) lebih \w+$", r"lo [\w*]+ atau gimana", r"turunan [\w*]+ mau ngatur", r"semua nih pengurus\w*", r"kayak lo mending diam", r"mending diam", r"maneh mah", r"kowe \w+ tenan", r"gimana punya otak",
         r"percuma sekolah tinggi", r"diam saja deh", r"cih \w+$",
     ],
     "threat": [
@@ -75,10 +75,10 @@ PHRASES = {
     ],
     "hate": [
         r"(?:memang|itu|emang) (?:parasit|hama)\b", r"are vermin", r"pantas jadi budak", r"punah juga tidak", r"punah juga", r"tidak ada yang rugi", r"kotor dan malas", r"sama busuk\w*", r"haram ditolong", r"mereka bukan manusia", r"bukan manusia", r"jangan kasih makan (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak|warga)",
-        r"jangan sewakan rumah", r"ludahi saja", r"bersihkan kampung dari", r"in our kitchens", r"send them all", r"dimasak tangan", r"jijik sama kaum\w*", r"usir semua", r"pulangin ke", r"breed like rats", r"otak\w* cuma buat dapur", r"pantesan rusuh", r"isinya (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak) [\w ]{1,30}semua", r"dari lahir (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)",
+        r"jangan sewakan rumah", r"ludahi saja", r"bersihkan \w+ dari (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)", r"kampung dari (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)", r"in our kitchens", r"send them all", r"dimasak tangan", r"jijik sama kaum\w*", r"usir semua", r"pulangin ke", r"breed like rats", r"otak\w* cuma buat dapur", r"pantesan rusuh", r"isinya (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak) [\w ]{1,30}semua", r"dari lahir (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)",
     ],
 }
-OBJECTS = re.compile(r"\b(?:dihina|dikatai|disebut|dibilang|jangan bilang|jangan sebut|tidak boleh sebut|boleh sebut|stop ujaran|ujaran benci|melukai|laporkan|keberatan|admin hapus|tidak mendidik|lawan komentar|jangan menghina|mengaku diancam|kata kasar)\b")
+OBJECTS = re.compile(r"\b(?:dihina|dikatai|jangan bilang|jangan sebut|tidak boleh sebut|boleh sebut|stop ujaran|ujaran benci|melukai|laporkan|keberatan|admin hapus|tidak mendidik|lawan komentar|jangan menghina|mengaku diancam|kata kasar)\b")
 KINDS = list(PHRASES)
 _FULL = {k: re.compile(r"(?<!\w)(?:" + "|".join(v) + r")(?!\w)") for k, v in PHRASES.items()}
 _FIRST = re.compile(r"[a-z]{3,}")
@@ -88,7 +88,7 @@ CUES = frozenset(
     " tunggu rumah nyenyak nama preman kelindas jembatan nyari racun bleach legs kill hurt break digantung pantas duel sekeluarga awas gue impoten om ranjang bugil nude nudes clothes cam vcs telanjang open sange crot ngamar bokep mesum remas ditunggangi baju bajunya tidur plus sexy montok tante janda onlyfans porn porno ngentot"
     " parasit hama vermin budak punah rugi malas busuk busuknya haram manusia sewakan ludahi bersihkan kitchens send tangan kaumnya usir pulangin breed cuma pantesan isinya lahir kasih lo mati bela masak".split()
 )
-TOKEN = re.compile(r"[^\W_]+(?:[*@$!][^\W_]*)*|[\"“”]")
+TOKEN = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+|\*+)*|[\"“”]")
 SPLIT_LETTERS = re.compile(r"(?<![\w.])(?:\w[ .\-_*]){2,}\w(?!\w)")
 WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
 LEET = str.maketrans("4310578@$!", "aeiostbasi")

@@ -36,7 +36,7 @@ KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 WIDE = {0xFF01 + i: 0x21 + i for i in range(94)} | {0x3000: 0x20, 0x00A0: 0x20, 0x2019: 0x27, 0x2018: 0x27}
 
 EMAIL = re.compile(
-    r"(?<![\w.+-])[a-z0-9][\w.+-]*(?:\s{1,3}@\s{1,3}|@|\s?(?:\(at\)|\[at\]|\{at\})\s?|\s{1,3}(?:at|et)\s{1,3})[a-z0-9][\w-]*(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b|\btitik\b)\s?[a-z][\w-]*)+", re.I
+    r"(?<![\w.+-])[a-z0-9][\w.+-]*(?:\s{1,3}@\s{1,3}|@|\s?(?:\(at\)|\[at\]|\{at\})\s?|\s{1,3}(?:at|et)\s{1,3})[a-z0-9][\w-]*(?:(?:\.|\s{1,3}\.\s{1,3}|\s?(?:\(dot\)|\[dot\])\s?|\s{1,3}(?:dot|titik)\s{1,3})[a-z][\w-]*)+", re.I
 )
 _S = r"(?: {1,3}|[.-])"
 ID = re.compile(rf"(?<![\d/])(?:\d{{16}}|\d{{4}}({_S})\d{{4}}\1\d{{4}}\1\d{{4}}|\d{{6}}({_S})\d{{6}}\2\d{{4}}|\d{{6}}{_S}\d{{10}})(?![\d/])")
@@ -74,7 +74,7 @@ NAME_GAP = frozenset([","])
 
 
 #: words before a number that is no person's: seeds against
-NUMBER_BEFORE = frozenset("resi batch pesanan order invoice faktur kode total paket status urut absen rekening barcode seri".split())
+NUMBER_BEFORE = frozenset("resi batch pesanan order invoice faktur kode total status urut absen rekening barcode seri".split())
 
 
 def digits_of(s: str) -> str:
@@ -90,6 +90,13 @@ def right_word(low: str, at: int) -> str:
     return m.group(1) if m else ""
 
 
+def masked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with signs that are no word in place of spans."""
+    for a, b in spans:
+        text = text[:a] + "\x02" * (b - a) + text[b:]
+    return text
+
+
 def trim_phone(span: str) -> str | None:
     """The leading groups of a number that make a phone number of 9 to 14 digits."""
     groups = list(re.finditer(r"\d+", span.replace("o", "0").replace("O", "0")))
@@ -120,19 +127,17 @@ def number_candidates(text: str, low: str) -> list[tuple]:
             d = digits_of(m.group())
             day, month = int(d[6:8]) % 40, int(d[8:10])
             ok = 1 <= day <= 31 and 1 <= month <= 12
-            other = not NUMBER_BEFORE.isdisjoint(left_words(low, m.start()))
+            other = not NUMBER_BEFORE.isdisjoint(left_words(low, m.start())[-1:])
             out.append(("id_number", m.start(), m.end(), ("dated" if ok else "undated") + ("_grouped" if not m.group().isdigit() else ""), 0.0 if other else 1.0 if ok else float("nan")))
             taken.append(m.span())
-        for m in PHONE.finditer(low):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
+        for m in PHONE.finditer(masked(low, taken)):
             s = trim_phone(m.group())
             if s is None:
                 continue
             d = digits_of(s)
             d = "0" + d[2:] if d.startswith("62") else d
             mobile = d.startswith("08") and len(d) >= 10
-            other = not NUMBER_BEFORE.isdisjoint(left_words(low, m.start()))
+            other = not NUMBER_BEFORE.isdisjoint(left_words(low, m.start())[-1:])
             prior = 0.0 if other else 1.0 if mobile or s[0] in "(+" else float("nan")
             out.append(("phone", m.start(), m.start() + len(s), ("mobile" if mobile else "fixed") + ("_grouped" if not s.isdigit() else ""), prior))
     if "nol" in low or "kosong" in low:
@@ -309,6 +314,8 @@ def discover(rows: DataFrame, names: bytes, lefts: bytes) -> DataFrame:
                 if not text.isascii():
                     text = text.translate(WIDE)
                 low = lower_same(text)
+                if "@" in low or "(at" in low or "[at" in low or " at " in low or " et " in low:
+                    low = masked(low, [m.span() for m in EMAIL.finditer(low)])
                 if not any(part(w) for w in low.replace(",", " ").replace(".", " ").split()):
                     continue
                 tokens = tokens_of(low)
