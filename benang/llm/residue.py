@@ -43,7 +43,7 @@ FILLER = re.compile(
 NOTICE = re.compile(
     r"nullpointerexception|sqlstate\[|traceback ?[:(]|keyerror|\bfatal error\b|undefined (?:index|variable)|\bstack trace\b|template error|is not defined\b|memory exhausted|connection refused|in /\w[\w/.]+ on line"
     r"|\b(?:http|error|galat|kesalahan)\s*\(?[45]\d\d\)?\s*[-:—–|]|^\s*[45]\d\d\s*[|:—–-]|\bbad gateway\b|gateway time-?out|internal server error|service unavailable|page unavailable|something went wrong|upstream host|not here anymore|try searching|looking into it|access denied|403 forbidden|page not found"
-    r"|gagal memuat|koneksi terputus|melewati batas waktu|layanan sedang|server sedang|dalam perawatan|halaman tidak ditemukan|tidak dapat dimuat|tidak dapat tampil|tidak tersedia di wilayah|tidak punya izin|sesi anda|silakan masuk kembali|sudah dipindah atau salah ketik|maaf atas gangguan|sebutkan kode \d|kembali ke beranda"
+    r"|gagal memuat|koneksi terputus|melewati batas waktu|layanan sedang|server sedang|dalam perawatan|halaman tidak ditemukan|tidak dapat dimuat|tidak dapat tampil|tidak tersedia di wilayah|tidak punya izin|sesi anda|silakan masuk kembali|sudah dipindah atau salah ketik|maaf atas gangguan|sebutkan kode \d|kembali ke beranda|\bcoba lagi(?: dalam \d+ \w+)?[.!]|^\s*ref(?:erence)?:? ?[\d-]+(?!\w)"
     r"|memuat(?:…|\.\.\.)|loading(?:…|\.\.\.)|not a robot|bukan robot|captcha",
     re.I,
 )
@@ -60,8 +60,10 @@ TELLS = re.compile(
 CUE = re.compile(
     r"[{}\[\]<>%$@_#|…]|\.{6}|\( {4}|null|NaN|None|undefined"
     r"|(?i:ipsum|dolor|contoh|percoba|placeholder|text|another|dashboard|soon|segera|construction|deskripsi|maks|todo|di sini|lengkapi|diterbitkan|hello|sample|bawaan|pertama!|sunting|delete|your|coret|lampirkan|cetak"
-    r"|exception|trace|keyerror|error|galat|kesalahan|http|defined|exhausted|refused|gateway|server|unavailable|wrong|upstream|anymore|searching|looking|denied|forbidden|not found|gagal|koneksi|batas waktu|layanan|perawatan|ditemukan|dimuat|tampil|wilayah|izin|sesi|masuk kembali|salah ketik|gangguan|kode|beranda|memuat|loading|robot|captcha|script|skrip|\bjs\b|browser|peramban|pemblokir|tangan)"
+    r"|exception|trace|keyerror|error|galat|kesalahan|http|defined|exhausted|refused|gateway|server|unavailable|wrong|upstream|anymore|searching|looking|denied|forbidden|not found|gagal|koneksi|batas waktu|layanan|perawatan|ditemukan|dimuat|tampil|wilayah|izin|sesi|masuk kembali|salah ketik|gangguan|kode|beranda|memuat|loading|robot|captcha|coba|\bref|script|skrip|\bjs\b|browser|peramban|pemblokir|tangan)"
 )
+#: a sentence that tells about a placeholder
+TELLS_SLOT = re.compile(r"belajar bahwa|akan diganti|tanda kurung|katanya|menertawakan|will be replaced|placeholder (?:is|means)", re.I)
 FUNCTION_WORDS = frozenset(
     "yang dan di ke dari untuk dengan pada ini itu tidak ada akan oleh karena atau juga sudah saya kami kita mereka dia ia sebagai dalam bisa lebih saat hanya belum jadi bila kalau agar bagi soal tetapi namun bukan masih lagi tiap setiap antara sampai sejak selama setelah sebelum sambil tanpa lewat menurut hingga sehingga maka walau meski padahal supaya ialah adalah siapa mengapa apa bagaimana seorang sebuah para begitu hasilnya datang"
     " the of and to in a is was were for on with at by from that this it as be are not no an or but had has have they we you he she their our its before after near about same day spent nobody everyone who"
@@ -107,14 +109,15 @@ def detect(text: str) -> tuple[int, int, int, int]:
                 continue
             told = TELLS.search(s) is not None
             marks = len(STRONG.findall(s))
-            slots += 0 if told and marks < 2 else marks
+            slots += 0 if marks < 2 and TELLS_SLOT.search(s) else marks
             slots += len(SURE_ABSENT.findall(s)) + (len(ABSENT.findall(s)) >= 2)
             forms += FORM.search(s) is not None
             if not told:
                 fillers += len(FILLER.findall(s))
                 notices += len(NOTICE.findall(s)) + len(SCRIPTS.findall(s))
     words = [w.lower() for w in WORD.findall(clean)]
-    if repeated_run(words) or any(filler_run([w.lower() for w in WORD.findall(s)]) for s in STRETCH.split(clean) if len(s) > 60):
+    only = len(words) >= 4 and len(set(words)) <= 2 or len(words) >= 10 and FUNCTION_WORDS.isdisjoint(words) and len(words) < 200
+    if only or repeated_run(words) or any(filler_run([w.lower() for w in WORD.findall(s)]) for s in STRETCH.split(clean) if len(s) > 60):
         fillers += 1
     return slots, forms, fillers, notices
 
