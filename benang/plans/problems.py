@@ -40,8 +40,16 @@ up AS (SELECT id AS start, parent AS cur FROM node WHERE parent IS NOT NULL AND
 """
 
 
+P6_PATHS = P6_TREE.replace("up AS (", "lost AS (SELECT id, parent AS top, 1 AS depth, parent || '/' || id AS path FROM node WHERE parent IS NOT NULL AND parent NOT IN (SELECT id FROM node) UNION ALL SELECT n.id, d.top, d.depth + 1, d.path || '/' || n.id FROM node n JOIN lost d ON n.parent = d.id),\nup AS (") + """,
+paths AS (SELECT id AS tweet_id, top, depth, 'top' AS ends, path FROM down UNION ALL SELECT id, top, depth, 'missing', path FROM lost
+  UNION ALL SELECT id, NULL, NULL, CASE WHEN id IN (SELECT start FROM up WHERE cur = start) THEN 'cycle' ELSE 'into_cycle' END, NULL FROM node WHERE id NOT IN (SELECT id FROM down) AND id NOT IN (SELECT id FROM lost))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_paths": P6_PATHS + "SELECT * FROM paths",
+        "p6_descendants": P6_PATHS + ", steps AS (SELECT tweet_id, depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) - 1 AS pos FROM paths WHERE path IS NOT NULL) SELECT ancestor AS tweet_id, count(*) AS n_descendants, max(depth - pos) AS height FROM steps WHERE ancestor <> tweet_id GROUP BY 1",
         "p2_found": P2_REFS + "SELECT DISTINCT src_table, tweet_id, ref_field, missing_id FROM orphan",
         "p2_report": P2_REFS + "SELECT src_table, ref_field, period, count(*) AS n_refs, count(DISTINCT missing_id) AS n_missing FROM (SELECT DISTINCT * FROM orphan) GROUP BY ALL",
         "p6_found": P6_TREE + """

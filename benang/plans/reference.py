@@ -320,7 +320,7 @@ def oracle_sql() -> dict[str, str]:
     empty = "trim(coalesce(kategori_utama, '')) = '' AND trim(coalesce(subkategori_primer, '')) = '' AND trim(coalesce(kategori_sekunder, '')) = ''"
     hashed = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
     split_cte = POSTS_SQL + ", g AS (SELECT DISTINCT root_tweet_id AS g FROM posts WHERE root_tweet_id <> ''), r AS (SELECT g, (row_number() OVER (ORDER BY md5('42|' || g), g) - 1) / (count(*) OVER ())::DOUBLE AS at_ FROM g), parts AS (SELECT g AS root_tweet_id, CASE WHEN at_ < 0.7 THEN 'train' WHEN at_ < 0.85 THEN 'validation' ELSE 'test' END AS part FROM r)"
-    return {
+    sql = {
         "s1_durable_scan": f"WITH t AS (SELECT *, trim({txt('tweet_id')}) <> '' AND trim({txt()}) <> '' AND trim({txt('sumber_akuisisi')}) <> '' AND trim({txt('hierarki_komentar')}) <> '' AS ok FROM threads) SELECT count(DISTINCT tweet_id) FILTER (ok) AS n_ids, count(*) FILTER (NOT ok) AS invalid, count(*) FILTER (ok AND hierarki_komentar = 'Root_Tweet' AND coalesce(jumlah_reply, 0) >= 3) AS n_queue FROM t",
         "s4_import_rows": f"WITH {IMPORT_SQL} SELECT status, reject, eligible, count(*) AS n FROM st2 GROUP BY ALL",
         "s5_dataset": f"WITH {N_SQL} SELECT tweet_id, root_tweet_id, conversation_id, in_reply_to_tweet_id, jumlah_likes, jumlah_view FROM n",
@@ -421,3 +421,29 @@ def oracle_sql() -> dict[str, str]:
         "r9_stream_distinct": "SELECT DISTINCT tweet_id FROM threads",
         "r_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }
+    broken = {"empty": "total_rows = 0", "duplicates": "duplicate_rows > 0", "invalid_ids": "invalid_ids > 0", "scientific_ids": "scientific_ids > 0", "bad_roots": "bad_roots > 0", "bad_direct": "bad_direct > 0", "bad_nested": "bad_nested > 0", "orphans": "orphans > 0", "blank_text": "blank_teks_komentar > 0"}
+    listed = "list_filter([" + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in broken.items()) + "], lambda x: x IS NOT NULL)"
+    sql["a7_contract"] = f"SELECT coalesce(array_to_string({listed}, ','), '') AS broken, len({listed}) = 0 AS ok FROM ({sql['a1_audit']})"
+    value = f"lower({collapsed(txt('kata_baku'))})"
+    step = lambda e: f"coalesce(array_to_string(list_transform(string_split({e}, ' '), lambda x: CASE x WHEN 'nggak' THEN 'tidak' WHEN 'gak' THEN 'nggak' WHEN 'udah' THEN 'sudah' ELSE x END), ' '), '')"
+    for _ in range(4):
+        value = step(value)
+    sql["t19_canonical"] = f"SELECT DISTINCT CASE WHEN {step(value)} = {value} THEN {value} END AS out FROM slang_map"
+    squeezed = lambda c: f"array_to_string(list_filter(string_split({c}, ''), lambda x, i: i = 1 OR x <> {c}[i - 1]), '')"
+    sql["t20_elongations"] = f"WITH {TOKENS_SQL}, base AS (SELECT token FROM vocab WHERE n > 200), known AS (SELECT {squeezed('token')} AS key, min(token) AS target FROM base GROUP BY 1 HAVING count(DISTINCT token) = 1), w AS (SELECT token, n, {squeezed('token')} AS key FROM vocab WHERE regexp_full_match(token, '[a-z]{{4,}}') AND token NOT IN (SELECT token FROM base)) SELECT w.token AS slang, known.target AS kata_baku, w.n AS frekuensi FROM w JOIN known USING (key) WHERE length(w.key) < length(w.token) AND w.token <> known.target"
+    cell = "floor((confidence - 0.4::DOUBLE) / 0.05::DOUBLE + 1e-9) >= ci AND floor((margin - 0.05::DOUBLE) / 0.05::DOUBLE + 1e-9) >= mi"
+    sql["m7_calibration"] = f"WITH {PRED_SQL}, g AS (SELECT * FROM range(10) a(ci), range(5) b(mi)), acc AS (SELECT g.ci, g.mi, pred.t, pred.p FROM g, pred WHERE {cell}), cov AS (SELECT ci, mi, count(*) / (SELECT count(*) FROM pred) AS coverage FROM acc GROUP BY 1, 2), f AS (SELECT ci, mi, label, CASE WHEN count(*) FILTER (p = label) + count(*) FILTER (t = label) > 0 THEN 2.0::DOUBLE * count(*) FILTER (t = label AND p = label) / (count(*) FILTER (p = label) + count(*) FILTER (t = label)) ELSE 0 END AS f1 FROM acc, labels GROUP BY 1, 2, 3), m AS (SELECT ci, mi, avg(f1) AS macro_f1 FROM f GROUP BY 1, 2) SELECT 0.4::DOUBLE + ci * 0.05::DOUBLE AS confidence_threshold, 0.05::DOUBLE + mi * 0.05::DOUBLE AS margin_threshold, coverage, macro_f1, row_number() OVER (ORDER BY round(macro_f1, 12) DESC, ci, mi) = 1 AND macro_f1 > 0 AS best FROM cov JOIN m USING (ci, mi) WHERE coverage > 0.1"
+    hits = "list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{k}' END" for k, e in STRATUM.items()) + "], lambda x: x IS NOT NULL)"
+    ctes = [POSTS_SQL, f"fr AS MATERIALIZED (SELECT tweet_id, root_tweet_id, CASE len(m) WHEN 0 THEN 'No_Signal' WHEN 1 THEN m[1] || '_Signal' ELSE 'Overlap' END AS stratum FROM (SELECT *, {hits} AS m FROM posts WHERE hierarki_komentar = 'Direct_Reply' AND root_tweet_id <> ''))", "ch0 AS (SELECT tweet_id, root_tweet_id, stratum, '' AS stage FROM fr WHERE false)"]
+    for i, stage in enumerate([*pilot.STRATA, pilot.REST], 1):
+        rest = stage == pilot.REST
+        h = lambda c, s=stage: f"md5('20260907|{s}|' || {c})"
+        order = f"{h('root_tweet_id')}, root_tweet_id, k" if rest else f"k, {h('root_tweet_id')}, root_tweet_id"
+        where = "" if rest else f"f.stratum = '{stage}' AND "
+        want = f"(SELECT {'300 - count(*)' if rest else 'least(60, 300 - count(*))'} FROM ch{i - 1})"
+        ctes += [
+            f"rk{i} AS (SELECT f.*, coalesce(u.n, 0) AS used, row_number() OVER (PARTITION BY f.root_tweet_id ORDER BY {h('f.tweet_id')}, f.tweet_id) AS k FROM fr f LEFT JOIN (SELECT root_tweet_id, count(*) AS n FROM ch{i - 1} GROUP BY 1) u ON u.root_tweet_id = f.root_tweet_id WHERE {where}f.tweet_id NOT IN (SELECT tweet_id FROM ch{i - 1}))",
+            f"ch{i} AS MATERIALIZED (SELECT * FROM ch{i - 1} UNION ALL SELECT tweet_id, root_tweet_id, stratum, '{stage}' FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS at_ FROM rk{i} WHERE k <= 5 - used) WHERE at_ <= {want})",
+        ]
+    sql["w2_pilot_sample"] = "WITH " + ", ".join(ctes) + " SELECT * FROM ch6"
+    return sql
