@@ -50,8 +50,26 @@ a AS (SELECT p.plan_name, p.sampling_stratum, any_value(p.target_share) AS targe
 """
 
 
+def score(split: str, weight: float) -> str:
+    return f"-{weight} / ln((('0x' || substr(md5('benang|{split}|' || component), 1, 12))::BIGINT + 0.5) / {float(16**12)!r})"
+
+
+P3_SPLITS = f"""
+WITH RECURSIVE {ROOTS.strip()},
+e AS (SELECT DISTINCT a.root AS a, b.root AS b FROM filled a JOIN filled b ON a.post = b.post AND a.root <> b.root),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+comp AS (SELECT a AS root, least(a, min(b)) AS component FROM reach GROUP BY a),
+r AS (SELECT DISTINCT x.post, coalesce(x.root, l.least_, x.post) AS root FROM rows x LEFT JOIN (SELECT post, min(root) AS least_ FROM rows GROUP BY 1) l ON l.post = x.post WHERE x.post IS NOT NULL),
+n AS (SELECT r.post AS tweet_id, r.root AS root_tweet_id, coalesce(c.component, r.root) AS component FROM r LEFT JOIN comp c ON c.root = r.root),
+s AS (SELECT *, {score('train', 0.8)} AS s1, {score('validation', 0.1)} AS s2, {score('test', 0.1)} AS s3 FROM n),
+splits AS (SELECT tweet_id, root_tweet_id, component, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 'train' WHEN s2 >= s3 THEN 'validation' ELSE 'test' END AS split FROM s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_splits": P3_SPLITS + "SELECT * FROM splits",
+        "p3_shares": P3_SPLITS + "SELECT split, count(*) AS n_rows, count(DISTINCT component) AS n_components, count(*) / (SELECT count(*) FROM splits) AS share, CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END AS target_share FROM splits GROUP BY split",
         "p3_found": f"""
 WITH RECURSIVE {ROOTS.strip()},
 e AS (SELECT DISTINCT a.root AS a, b.root AS b FROM filled a JOIN filled b ON a.post = b.post AND a.root <> b.root),
