@@ -63,8 +63,11 @@ def bootstrap(df: DataFrame, true: str, pred: str, group: str, replicates: int =
     parts = []
     for i, lab in enumerate(labels):
         parts += [F.sum(F.when((F.col(true) == lab) & (F.col(pred) == lab), n).otherwise(0)).alias(f"tp{i}"), F.sum(F.when(F.col(pred) == lab, n).otherwise(0)).alias(f"told{i}"), F.sum(F.when(F.col(true) == lab, n).otherwise(0)).alias(f"real{i}")]
-    groups = df.groupBy(group).agg(*parts).withColumn("g", F.row_number().over(W.orderBy(group)) - 1)
-    size = groups.count()
+    from benang.operators.pilot import hash_positions
+
+    counts = df.groupBy(group).agg(*parts)
+    size = counts.count()
+    groups = hash_positions(counts, [], F.md5(F.col(group)), group, "g").withColumn("g", F.col("g") - 1)
     if not size:
         return groups.sparkSession.createDataFrame([], "mean double, std double, low double, high double")
     spark = df.sparkSession
@@ -156,3 +159,15 @@ def adjudicated(df: DataFrame) -> DataFrame:
 def annotation_progress(df: DataFrame) -> DataFrame:
     s = adjudicated(df)
     return s.agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("state") == "SETUJU").alias("agreed"), F.count_if(F.col("state") == "BEDA").alias("different"), F.count_if(F.col("final_status").isin("SIAP", "ADJUDICATED")).alias("final_ready"))
+
+
+def category_kappa(df: DataFrame, a: str, b: str, categories: list[str] = LABELS, limit: float = 0.8) -> DataFrame:
+    """Kappa over complete pairs with chance agreement from the listed categories only, and the pilot's gate."""
+    pairs = df.where((text_or_blank(F.col(a)) != "") & (text_or_blank(F.col(b)) != ""))
+    counts = [F.count_if(F.col(x) == c).alias(f"{x}_{i}") for x in (a, b) for i, c in enumerate(categories)]
+    out = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(b)).alias("agreed"), *counts)
+    n = F.col("n").cast("double")
+    cross = sum((F.col(f"{a}_{i}") * F.col(f"{b}_{i}") for i in range(1, len(categories))), F.col(f"{a}_0") * F.col(f"{b}_0")).cast("double")
+    po, pe = F.try_divide(F.col("agreed").cast("double"), n), F.try_divide(cross, n * n)
+    k = F.try_divide(po - pe, 1 - pe)
+    return out.select("n", "agreed", k.alias("kappa"), F.when(k.isNull(), "BELUM ADA DATA").when(k >= limit, "LULUS").otherwise("REVISI PANDUAN").alias("gate"))

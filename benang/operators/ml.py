@@ -106,3 +106,44 @@ def ready(df: DataFrame, label: str, labels: list[str]) -> DataFrame:
     """Whether a frame has filled labels, and at least one valid one."""
     lab = F.trim(F.coalesce(F.col(label), F.lit("")))
     return df.agg(F.count_if(lab != "").alias("n_filled"), F.count_if(lab.isin(*labels)).alias("n_valid")).withColumn("ready", (F.col("n_filled") > 0) & (F.col("n_valid") > 0))
+
+
+def predictions(model, df: DataFrame, labels: list[str], version: str, least: float = 0.6, least_margin: float = 0.15) -> DataFrame:
+    """Class, confidence, margin to the second class, status and version of every row; of ties the later class."""
+    from pyspark.ml.functions import vector_to_array
+
+    from benang.functions.text import top_two
+    from benang.operators.metrics import abstention
+
+    out = model.transform(df).withColumn("p", vector_to_array("probability"))
+    best, confidence, margin = top_two(F.col("p"))
+    return out.select("tweet_id", F.element_at(F.array(*[F.lit(x) for x in labels]), best + 1).alias("prediction"), confidence.alias("confidence"), margin.alias("margin"), abstention(confidence, margin, least, least_margin).alias("status"), F.lit(version).alias("model_version"))
+
+
+def score_with(df: DataFrame, text: str, make_scorer, labels: list[str], least: float = 0.6) -> DataFrame:
+    """Predictions of any scorer of text batches, such as a transformer: ``make_scorer()`` is called once per task and
+    gives a function from a list of texts to rows of probabilities."""
+    import pandas as pd
+
+    from benang.operators.metrics import abstention
+
+    def run(batches):
+        scorer = make_scorer()
+        for b in batches:
+            p = [list(map(float, r)) for r in scorer(b["text"].fillna("").tolist())] if len(b) else []
+            best = [max(range(len(r)), key=r.__getitem__) for r in p]
+            yield pd.DataFrame({"tweet_id": b["tweet_id"], "prediction": [labels[i] for i in best], "confidence": [r[i] for r, i in zip(p, best)]})
+
+    out = df.select("tweet_id", F.col(text).alias("text")).mapInPandas(run, "tweet_id string, prediction string, confidence double")
+    return out.withColumn("status", abstention(F.col("confidence"), None, least))
+
+
+def run_experiments(train: DataFrame, test: DataFrame, names: list[str], labels: list[str]) -> DataFrame:
+    """Macro-F1 on the test part of each named experiment that has a pipeline."""
+    from benang.operators.metrics import confusion, overall
+
+    rows = []
+    for n in names:
+        done = build(n).fit(train).transform(test).withColumn("said", F.element_at(F.array(*[F.lit(x) for x in sorted(labels)]), F.col("prediction").cast("int") + 1))
+        rows.append((n, float(overall(confusion(done, "label", "said"), labels).first()["macro_f1"] or 0.0)))
+    return train.sparkSession.createDataFrame(rows, "experiment string, macro_f1 double")

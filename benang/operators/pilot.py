@@ -65,7 +65,8 @@ def sample(df: DataFrame, total: int, cap: int, seed: str = "20260907", strata:
         else:
             rows = rows.withColumn("used", F.lit(0))
         k = F.row_number().over(W.partitionBy("root_tweet_id").orderBy(rank_hash(seed, stage, "tweet_id"), "tweet_id"))
-        ranked = rows.withColumn("k", k).where(F.col("k") <= cap - F.coalesce("used", F.lit(0)))
+        # the constant limit lets Spark cut each thread before it is shuffled
+        ranked = rows.withColumn("k", k).where(F.col("k") <= cap).where(F.col("k") <= cap - F.coalesce("used", F.lit(0)))
         h = rank_hash(seed, stage, "root_tweet_id")
         order = [h, F.col("root_tweet_id"), F.col("k")] if stage == REST else [F.col("k"), h, F.col("root_tweet_id")]
         got = ranked.orderBy(*order).limit(want).select("tweet_id", "root_tweet_id", "stratum", F.lit(stage).alias("stage"))
@@ -82,26 +83,34 @@ def checked_ids(df: DataFrame) -> DataFrame:
     return df
 
 
+def hash_positions(df: DataFrame, by: list[str], h: Column, tie: str, name: str = "position") -> DataFrame:
+    """Row numbers from 1 within groups in the order of a hexadecimal hash. Ranks are taken in 256 ranges of the hash
+    and added up, so that a hot group, or all rows, are not ordered in one task."""
+    inner = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 2))
+    inside = inner.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_range").orderBy("_h", tie)))
+    per = inner.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    order = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)
+    before = per.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_range").alias("_range2"), (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
+    on = inside["_range"] == before["_range2"]
+    for i, c in enumerate(by):
+        on = on & inside[c].eqNullSafe(before[f"_by{i}"])
+    return inside.join(before, on).withColumn(name, (F.col("_before") + F.col("_r")).cast("int")).select(*df.columns, name)
+
+
 def group_split(df: DataFrame, group: str, sizes: dict[str, float], seed: str = "42") -> DataFrame:
     """Groups given to parts by hash rank; sizes are shares of the number of groups."""
-    g = df.select(F.col(group).alias("g")).distinct()
-    # ranks are built from hash ranges, so no task orders all groups
-    g = g.withColumn("h", F.md5(F.concat_ws("|", F.lit(seed), "g"))).withColumn("range", F.substring("h", 1, 2))
-    inside = g.withColumn("r", F.row_number().over(W.partitionBy("range").orderBy("h", "g")))
-    per = g.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    every = W.partitionBy(F.lit(1))
-    before = per.select("range", (F.sum("n").over(every.orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(every).alias("all"))
-    placed = inside.join(before, "range").withColumn("at", (F.col("before") + F.col("r") - 1) / F.col("all"))
-    part, low = F.lit(None).cast("string"), 0.0
-    total = sum(sizes.values())
-    cuts = []
+    g = df.select(group).distinct()
+    placed = hash_positions(g, [], F.md5(F.concat_ws("|", F.lit(seed), F.col(group))), group)
+    n = g.count()
+    low, total, cuts = 0.0, sum(sizes.values()), []
     for name, s in sizes.items():
         low += s / total
         cuts.append((name, low))
+    at = (F.col("position") - 1) / F.lit(float(max(1, n)))
     part = F.lit(cuts[-1][0])
     for name, high in reversed(cuts[:-1]):
-        part = F.when(F.col("at") < F.lit(round(high, 9)), name).otherwise(part)
-    return placed.select(F.col("g").alias(group), part.alias("part"))
+        part = F.when(at < F.lit(round(high, 9)), name).otherwise(part)
+    return placed.select(group, part.alias("part"))
 
 
 def folds(df: DataFrame, group: str, n: int, seed: str = "42") -> DataFrame:
@@ -116,3 +125,53 @@ def leakage(parts: DataFrame, group: str) -> DataFrame:
 def root_coverage(chosen: DataFrame) -> DataFrame:
     n = chosen.groupBy("root_tweet_id").agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.count(F.lit(1)).alias("n_roots"), F.max("n").alias("most"), F.min("n").alias("least"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"))
+
+
+LABEL_COLUMNS = ["kategori_utama", "subkategori_primer", "kategori_sekunder", "annotation_status", "annotator_1", "annotator_2", "adjudicated_label"]
+
+
+def blind(chosen: DataFrame, version: str) -> DataFrame:
+    """What annotators get: ids and texts, labels blank, no stratum, the version of the guide."""
+    return chosen.select("tweet_id", "root_tweet_id", "teks_root", "teks_komentar", *[F.lit("").alias(c) for c in LABEL_COLUMNS], F.lit(version).alias("label_guide_version"))
+
+
+def escalating_sample(df: DataFrame, quota: int, caps: tuple[int, ...], seed: str = "20260907", strata: list[str] = STRATA) -> DataFrame:
+    """``quota`` rows of every stratum; where a cap per thread leaves a stratum short, the next cap is tried. Raises
+    where even the last does not do."""
+    scratch = Scratch(df.sparkSession)
+    df = scratch.save(df.select("tweet_id", "root_tweet_id", "stratum"))
+    for cap in caps:
+        chosen = scratch.save(sample(df, quota * len(strata), cap, seed, strata).where(F.col("stage") != REST))
+        full = chosen.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == quota).count()
+        if full == len(strata):
+            return chosen.withColumn("cap", F.lit(cap))
+    raise ValueError("a stratum is too small for its quota")
+
+
+def prepare(df: DataFrame, total: int, cap: int, version: str, seed: str = "20260907", rules: dict[str, list[str]] = RULES) -> DataFrame:
+    """The blind pilot: replies with a filled context, strata, the sample, shuffled again; exactly ``total`` rows or
+    an error."""
+    from benang.operators.relations import direct_replies, roots_of, with_context
+
+    frame = with_context(direct_replies(df), roots_of(df)).where((F.trim(text_or_blank(F.col("teks_root"))) != "") & (F.trim(text_or_blank(F.col("teks_komentar"))) != ""))
+    frame = Scratch(df.sparkSession).save(with_stratum(frame, rules=rules))
+    checked_ids(frame)
+    chosen = sample(frame, total, cap, seed, [*[f"{c}_Signal" for c in reversed(rules)], "Overlap", "No_Signal"])
+    if chosen.count() != total:
+        raise ValueError("the data do not give so many rows")
+    rows = frame.join(chosen.select("tweet_id"), "tweet_id", "left_semi")
+    return blind(rows, version).orderBy(rank_hash(seed, "order", "tweet_id"))
+
+
+def label_map(df: DataFrame, column: str) -> DataFrame:
+    """Labels numbered in their order."""
+    labels = df.where(F.col(column).isNotNull()).select(F.col(column).alias("label")).distinct()
+    return labels.withColumn("index", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("label")) - 1)  # one row per label
+
+
+def presets(groups: dict[str, list[str]], spark) -> DataFrame:
+    """Keywords of all groups in order, first spelling kept: (position, keyword, preset)."""
+    from benang.operators.summary import ordered_distinct
+
+    rows = [(i, w, g) for i, (g, w) in enumerate((g, w) for g, ws in groups.items() for w in ws)]
+    return ordered_distinct(spark.createDataFrame(rows, "position int, keyword string, preset string"), "keyword", ["position"])

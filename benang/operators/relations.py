@@ -168,3 +168,9 @@ def seed_ids(df: DataFrame, column: str, order: str) -> DataFrame:
     ids = tokens.withColumn("seed_id", F.when(got != "", got).otherwise(F.col("token")))
     first = ids.groupBy("seed_id").agg(F.min(F.struct("o", "pos")).alias("first"))
     return first.select("seed_id", F.col("seed_id").rlike("^[0-9]{6,}$").alias("valid"), F.col("first.o").alias("first_row"), F.col("first.pos").alias("first_pos"))
+
+
+def queue_seeds(seeds: DataFrame, queue: DataFrame, label: str = "MANUAL_SEED") -> DataFrame:
+    """The reply queue with valid seed ids added that it does not hold; ids already fetched do not matter."""
+    new = seeds.where("valid").select(F.col("seed_id").alias("tweet_id")).join(queue.select("tweet_id"), "tweet_id", "left_anti")
+    return queue.select("tweet_id", "keyword_matched").unionByName(new.withColumn("keyword_matched", F.lit(label)))

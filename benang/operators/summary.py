@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LABELS = ("positif", "negatif", "netral")
@@ -39,7 +38,3 @@ def ordered_distinct(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     key = F.lower(F.trim(column))
     first = df.where(F.trim(column) != "").groupBy(key.alias("key")).agg(F.min(F.struct(*order, F.trim(column).alias("value"))).alias("f"))
     return first.select("key", F.col("f.value").alias("value"))
-
-
-def row_numbers(df: DataFrame, by: str, order: list[Column]) -> DataFrame:
-    return df.withColumn("position", F.row_number().over(W.partitionBy(by).orderBy(*order)))

@@ -97,6 +97,12 @@ def splits(spark: SparkSession, d: str) -> DataFrame:
     return pilot.group_split(posts(spark, d).where("root_tweet_id <> ''"), "root_tweet_id", {"train": 0.70, "validation": 0.15, "test": 0.15})
 
 
+def model_predictions(spark: SparkSession, d: str) -> DataFrame:
+    data = labelled(spark, d).where(F.col("a1").isin(*CATS)).select("tweet_id", "root_tweet_id", T.model_text(F.col("teks_komentar")).alias("text"), F.col("a1").alias("label"))
+    data = Scratch(spark).save(data)
+    return ml.predictions(ml.build("E3").fit(data), data, sorted(CATS), "1")
+
+
 def sentiments(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower(T.text_or_blank(F.col("teks_komentar")))
     label = F.when(low.rlike("enak|mantap|salut|segar"), "positif").when(low.rlike("basi|hambar|telat|bau"), "negatif").otherwise("netral")
@@ -172,7 +178,7 @@ def queries() -> dict:
         "o1_top_users": lambda s, d: summary.top(t(s, d, "threads"), "username"),
         "o2_rank": lambda s, d: lexicon.rank(lexicon.valid_mapping(t(s, d, "slang_map")).withColumn("source", F.when(F.length("slang") > 4, "elongation").otherwise("review")), 30),
         "o6_shuffle": lambda s, d: t(s, d, "pilot_raw").select("tweet_id").distinct().orderBy(F.md5(F.concat_ws("|", F.lit("20260907"), "tweet_id"))).limit(100),
-        "w1_position": lambda s, d: summary.row_numbers(posts(s, d).select("tweet_id", "root_tweet_id"), "root_tweet_id", [F.md5(F.concat_ws("|", F.lit("7"), "tweet_id"))]),
+        "w1_position": lambda s, d: pilot.hash_positions(posts(s, d).select("tweet_id", "root_tweet_id"), ["root_tweet_id"], F.md5(F.concat_ws("|", F.lit("7"), "tweet_id")), "tweet_id"),
         "w2_pilot_sample": pilot_sample,
         "w4_strata": lambda s, d: pilot.with_stratum(t(s, d, "threads")).groupBy("stratum", "reason").agg(F.count(F.lit(1)).alias("n")),
         "x1_sets": lambda s, d: t(s, d, "coordinator_sampling").select("tweet_id").intersect(t(s, d, "pilot_raw").select("tweet_id")),
@@ -217,6 +223,17 @@ def queries() -> dict:
         # models (no SQL)
         "m11_most_frequent": lambda s, d: ml.most_frequent(labelled(s, d).where(F.col("a1").isin(*CATS)), "a1"),
         "m22_keyword_labels": lambda s, d: ml.keyword_label(labelled(s, d).select("tweet_id", F.col("teks_komentar").alias("text"))).select("tweet_id", "prediction"),
+        "m4_category_kappa": lambda s, d: metrics.category_kappa(labelled(s, d), "a1", "a2"),
+        "m8_predictions": model_predictions,
+        "w3_escalating_sample": lambda s, d: pilot.escalating_sample(pilot.with_stratum(relations.direct_replies(posts(s, d))).where("root_tweet_id <> '' and stratum <> 'Overlap'"), 8, (1, 2, 3, 5, 300), strata=[x for x in pilot.STRATA if x != "Overlap"]),
+        "w5_prepare_pilot": lambda s, d: pilot.prepare(posts(s, d), 60, 5, "1.0"),
+        "proj10_blind": lambda s, d: pilot.blind(t(s, d, "pilot_raw"), "2.0"),
+        "proj13_label_map": lambda s, d: pilot.label_map(labelled(s, d), "a1"),
+        "x4_presets": lambda s, d: pilot.presets({k: [*w, k.lower()] for k, w in pilot.RULES.items()}, s),
+        "f8_required": lambda s, d: t(s, d, "threads").agg(*[F.count_if(audit.blank(F.col(c))).alias(c) for c in files.REQUIRED]),
+        "a6_sorted_counter": lambda s, d: audit.distribution(t(s, d, "threads"), "bahasa").orderBy(F.desc("n"), "value"),
+        "a8_source_audit": lambda s, d: relations.one_row(audit.audit(relations.normalized(t(s, d, "threads"))).select("total_rows", "distinct_ids", "invalid_ids", "orphans"), t(s, d, "threads").agg(F.count_if(~F.coalesce("hierarki_komentar", F.lit("")).isin("Root_Tweet", "Direct_Reply", "Nested_Reply")).alias("open_levels"))),
+        "f10_queue_seeds": lambda s, d: relations.queue_seeds(relations.seed_ids(t(s, d, "legacy_import").where("url is not null"), "url", "url"), relations.roots_of(posts(s, d)).select("tweet_id", F.coalesce("keyword_matched", F.lit("")).alias("keyword_matched"))),
         # streams
         "r1_discover": lambda s, d: streams.discover(t(s, d, "threads")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
         "r3_deferred": lambda s, d: streams.deferred(t(s, d, "threads")).select("tweet_id").distinct(),
@@ -407,7 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "t29_percent": "SELECT bahasa, count(*) FILTER (jumlah_likes > 10) * 100.0 / count(*) AS pct FROM threads GROUP BY 1",
         "m1_class_metrics": f"WITH {CLASS_SQL} SELECT label, precision, recall, f1, support FROM cls",
         "m1_overall": f"WITH {CLASS_SQL} SELECT (SELECT count(*) FILTER (t = p) / count(*) FROM pred) AS accuracy, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1, (SELECT avg(r) FROM (SELECT count(*) FILTER (t = p) / count(*) AS r FROM pred GROUP BY t)) AS balanced_accuracy FROM cls",
-        "m2_bootstrap": f"WITH {PRED_SQL}, grp AS (SELECT root_tweet_id, row_number() OVER (ORDER BY root_tweet_id) - 1 AS g, " + ", ".join(f"count(*) FILTER (t = '{c}' AND p = '{c}') AS tp{i}, count(*) FILTER (p = '{c}') AS told{i}, count(*) FILTER (t = '{c}') AS real{i}" for i, c in enumerate(CATS)) + f" FROM pred GROUP BY root_tweet_id), sz AS (SELECT count(*) AS size FROM grp), dr AS (SELECT b, {hashed.format(repr('42|') + ' || b || ' + repr('|') + ' || i')} % size AS g, size FROM sz, range(200) bb(b), LATERAL (SELECT unnest(range(size)) AS i)), sm AS (SELECT b, " + ", ".join(f"sum({k}{i}) AS {k}{i}" for i in range(3) for k in ("tp", "told", "real")) + " FROM dr JOIN grp USING (g) GROUP BY b), s AS (SELECT (" + " + ".join(f"CASE WHEN told{i} + real{i} > 0 THEN 2.0::DOUBLE * tp{i} / (told{i} + real{i}) ELSE 0 END" for i in range(3)) + ") / 3 AS s FROM sm) SELECT avg(s) AS mean, stddev_pop(s) AS std, quantile_cont(s, 0.025::DOUBLE) AS low, quantile_cont(s, 0.975::DOUBLE) AS high FROM s",
+        "m2_bootstrap": f"WITH {PRED_SQL}, grp AS (SELECT root_tweet_id, row_number() OVER (ORDER BY md5(root_tweet_id), root_tweet_id) - 1 AS g, " + ", ".join(f"count(*) FILTER (t = '{c}' AND p = '{c}') AS tp{i}, count(*) FILTER (p = '{c}') AS told{i}, count(*) FILTER (t = '{c}') AS real{i}" for i, c in enumerate(CATS)) + f" FROM pred GROUP BY root_tweet_id), sz AS (SELECT count(*) AS size FROM grp), dr AS (SELECT b, {hashed.format(repr('42|') + ' || b || ' + repr('|') + ' || i')} % size AS g, size FROM sz, range(200) bb(b), LATERAL (SELECT unnest(range(size)) AS i)), sm AS (SELECT b, " + ", ".join(f"sum({k}{i}) AS {k}{i}" for i in range(3) for k in ("tp", "told", "real")) + " FROM dr JOIN grp USING (g) GROUP BY b), s AS (SELECT (" + " + ".join(f"CASE WHEN told{i} + real{i} > 0 THEN 2.0::DOUBLE * tp{i} / (told{i} + real{i}) ELSE 0 END" for i in range(3)) + ") / 3 AS s FROM sm) SELECT avg(s) AS mean, stddev_pop(s) AS std, quantile_cont(s, 0.025::DOUBLE) AS low, quantile_cont(s, 0.975::DOUBLE) AS high FROM s",
         "m3_kappa": f"WITH {LABELLED_SQL}, c AS (SELECT a1, a2 FROM lab WHERE a1 <> '' AND a2 <> ''), n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a1 = a2)::DOUBLE AS ag FROM c), x AS (SELECT sum(l.n * r.n)::DOUBLE AS cross_ FROM (SELECT a1 AS k, count(*) AS n FROM c GROUP BY 1) l JOIN (SELECT a2 AS k, count(*) AS n FROM c GROUP BY 1) r USING (k)) SELECT n, ag / n AS agreement, (ag / n - cross_ / (n * n)) / (1 - cross_ / (n * n)) AS kappa FROM n, x",
         "m5_per_root": f"WITH {PRED_SQL}, f AS (SELECT root_tweet_id, label, CASE WHEN count(*) FILTER (p = label) + count(*) FILTER (t = label) > 0 THEN 2.0::DOUBLE * count(*) FILTER (t = label AND p = label) / (count(*) FILTER (p = label) + count(*) FILTER (t = label)) ELSE 0 END AS f1 FROM pred, labels GROUP BY 1, 2) SELECT root_tweet_id, sum(f1) / 3 AS macro_f1 FROM f GROUP BY 1",
         "m6_gates": f"WITH {CLASS_SQL}, o AS (SELECT avg(f1) AS macro_f1, min(recall) AS least, (SELECT avg(r) FROM (SELECT count(*) FILTER (t = p) / count(*) AS r FROM pred GROUP BY t)) AS bal FROM cls) SELECT CASE WHEN macro_f1 >= 0.85 THEN 'pass' ELSE 'fail' END AS macro_f1, CASE WHEN least >= 0.8 THEN 'pass' ELSE 'fail' END AS class_recall, CASE WHEN bal >= 0.85 THEN 'pass' ELSE 'fail' END AS balanced_accuracy, 'not_evaluated' AS val_test_gap, 'pass' AS zero_root_leakage FROM o",
@@ -421,6 +438,14 @@ def oracle_sql() -> dict[str, str]:
         "r9_stream_distinct": "SELECT DISTINCT tweet_id FROM threads",
         "r_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }
+    seeds = sql["f10_seed_ids"].replace(" SELECT DISTINCT seed_id", ", q AS (SELECT DISTINCT seed_id")
+    sql["f10_queue_seeds"] = f"{seeds}), {POSTS_SQL}, rt AS (SELECT tweet_id, coalesce(keyword_matched, '') AS keyword_matched FROM posts WHERE hierarki_komentar = 'Root_Tweet') SELECT * FROM rt UNION ALL SELECT seed_id, 'MANUAL_SEED' FROM q WHERE valid AND seed_id NOT IN (SELECT tweet_id FROM rt)"
+    sql["m4_category_kappa"] = f"WITH {LABELLED_SQL}, c AS (SELECT * FROM lab WHERE a1 <> '' AND a2 <> ''), k AS (SELECT count(*) AS n, count(*) FILTER (a1 = a2) AS agreed, (" + " + ".join(f"count(*) FILTER (a1 = '{c}') * count(*) FILTER (a2 = '{c}')" for c in CATS) + ")::DOUBLE AS x FROM c), z AS (SELECT n, agreed, (agreed / n - x / (n * n)) / (1 - x / (n * n)) AS kappa FROM k) SELECT n, agreed, kappa, CASE WHEN kappa IS NULL THEN 'BELUM ADA DATA' WHEN kappa >= 0.8 THEN 'LULUS' ELSE 'REVISI PANDUAN' END AS gate FROM z"
+    sql["proj10_blind"] = "SELECT tweet_id, root_tweet_id, teks_root, teks_komentar, " + ", ".join(f"'' AS {c}" for c in pilot.LABEL_COLUMNS) + ", '2.0' AS label_guide_version FROM pilot_raw"
+    sql["proj13_label_map"] = f"WITH {LABELLED_SQL}, l AS (SELECT DISTINCT a1 AS label FROM lab) SELECT label, row_number() OVER (ORDER BY label) - 1 AS index FROM l"
+    sql["f8_required"] = "SELECT " + ", ".join(f"count(*) FILTER (trim(coalesce({c}, '')) = '') AS {c}" for c in files.REQUIRED) + " FROM threads"
+    sql["a6_sorted_counter"] = "SELECT CASE WHEN trim(coalesce(bahasa, '')) = '' THEN '(kosong)' ELSE bahasa END AS value, count(*) AS n FROM threads GROUP BY 1 ORDER BY n DESC, value"
+    sql["a8_source_audit"] = f"SELECT total_rows, distinct_ids, invalid_ids, orphans, (SELECT count(*) FROM threads WHERE coalesce(hierarki_komentar, '') NOT IN ('Root_Tweet', 'Direct_Reply', 'Nested_Reply')) AS open_levels FROM ({sql['a1_audit']})"
     broken = {"empty": "total_rows = 0", "duplicates": "duplicate_rows > 0", "invalid_ids": "invalid_ids > 0", "scientific_ids": "scientific_ids > 0", "bad_roots": "bad_roots > 0", "bad_direct": "bad_direct > 0", "bad_nested": "bad_nested > 0", "orphans": "orphans > 0", "blank_text": "blank_teks_komentar > 0"}
     listed = "list_filter([" + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in broken.items()) + "], lambda x: x IS NOT NULL)"
     sql["a7_contract"] = f"SELECT coalesce(array_to_string({listed}, ','), '') AS broken, len({listed}) = 0 AS ok FROM ({sql['a1_audit']})"

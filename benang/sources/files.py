@@ -171,3 +171,18 @@ def write_report(rows: DataFrame, path: str) -> None:
     data = [r.asDict(recursive=True) for r in rows.limit(1000).collect()]
     with open(urlparse(path).path, "w", encoding="utf-8") as f:
         json.dump(data, f, ensure_ascii=False, indent=2, default=str)
+
+
+def read_lexicons(spark: SparkSession, tsv: str, csv: str, tsv_fields: list[str], csv_fields: list[str]) -> DataFrame:
+    """Two dictionaries of different form as one of (slang, kata_baku, source); the first two fields count."""
+    a, b = read_csv(spark, tsv, tsv_fields, sep="\t"), read_csv(spark, csv, csv_fields)
+    pick = lambda df, fields, name: df.select(F.col(fields[0]).alias("slang"), F.col(fields[1]).alias("kata_baku"), F.lit(name).alias("source"))
+    return pick(a, tsv_fields, "tsv").unionByName(pick(b, csv_fields, "csv"))
+
+
+def export_pilot(blind: DataFrame, coordinator: DataFrame, audit: DataFrame, folder: str) -> None:
+    """The blind rows, the strata apart from them, and the audit; nothing is overwritten."""
+    os.makedirs(folder, exist_ok=True)
+    write_single_csv(blind, f"{folder}/pilot.csv")
+    write_single_csv(coordinator, f"{folder}/coordinator_sampling.csv")
+    write_report(audit, f"{folder}/audit.json")

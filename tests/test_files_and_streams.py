@@ -88,3 +88,24 @@ def test_states_merge(spark):
 
 def test_quota_is_exact(spark):
     assert streams.quota(spark.range(50).select(F.col("id").alias("k")), 7, ["k"]).count() == 7
+
+
+def test_lexicons_and_pilot_export(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("informal\tformal\textra\ngak\ttidak\tx\n")
+    (tmp_path / "b.csv").write_text("slang,formal,n\nbgt,\"banget, sekali\",2\n")
+    got = files.read_lexicons(spark, str(tmp_path / "a.tsv"), str(tmp_path / "b.csv"), ["informal", "formal", "extra"], ["slang", "formal", "n"])
+    assert {tuple(r) for r in got.collect()} == {("gak", "tidak", "tsv"), ("bgt", "banget, sekali", "csv")}
+    df = spark.createDataFrame([("1", "x")], "tweet_id string, stratum string")
+    files.export_pilot(df.select("tweet_id"), df, df.agg(F.count("*").alias("n")), str(tmp_path / "out"))
+    assert sorted(os.listdir(tmp_path / "out")) == ["audit.json", "coordinator_sampling.csv", "pilot.csv"] and json.load(open(tmp_path / "out/audit.json")) == [{"n": 1}]
+    with pytest.raises(FileExistsError):
+        files.export_pilot(df, df, df, str(tmp_path / "out"))
+
+
+def test_latest_file_lines_report(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("x")
+        os.utime(tmp_path / f"{name}.csv", (1_700_000_000, 1_700_000_000 + (name == "a")))
+    assert files.latest_file(spark, str(tmp_path)).first().path.endswith("a.csv")
+    files.write_lines(spark.createDataFrame([("satu",), ("#dua",)], "k string"), "k", str(tmp_path / "k"))
+    assert {r.value for r in files.read_lines(spark, str(tmp_path / "k")).collect()} == {"satu", "#dua"}

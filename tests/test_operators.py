@@ -198,3 +198,54 @@ def test_import_counters(spark):
     df = spark.createDataFrame([tuple(r[c] for c in cols) for r in rows], ", ".join(f"{c} string" for c in cols))
     c = relations.import_counts(relations.import_legacy(df, spark.createDataFrame([], "tweet_id string"), 100)).first()
     assert (c.total, c.imported, c.rejected, c.duplicate, c.eligible) == (4, 2, 2, 0, 1)
+
+
+def test_hash_positions(spark):
+    rows = [(str(i), "hot" if i % 3 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, g string")
+    got = pilot.hash_positions(df, ["g"], F.md5("k"), "k").collect()
+    for g in ("hot", None):
+        order = sorted((hashlib.md5(k.encode()).hexdigest(), k) for k, x in rows if x == g)
+        assert {r.k: r.position for r in got if r.g == g} == {k: i + 1 for i, (_, k) in enumerate(order)}
+
+
+def test_escalating_caps(spark):
+    rows = [(f"{s}{i}", f"r{i % 2}", s) for s in "AB" for i in range(6)]
+    df = spark.createDataFrame(rows, "tweet_id string, root_tweet_id string, stratum string")
+    got = pilot.escalating_sample(df, 3, (1, 2, 3, 100), strata=["A", "B"]).collect()
+    assert len(got) == 6 and {r.cap for r in got} == {3}
+    with pytest.raises(ValueError):
+        pilot.escalating_sample(df, 7, (1, 100), strata=["A", "B"])
+
+
+def test_prepare_needs_enough_rows(spark):
+    s = "tweet_id string, root_tweet_id string, teks_komentar string, hierarki_komentar string"
+    df = spark.createDataFrame([("r", "r", "akar", "Root_Tweet"), *[(str(i), "r", "porsi kecil", "Direct_Reply") for i in range(4)]], s)
+    got = pilot.prepare(df, 3, 5, "1.0")
+    assert got.count() == 3 and "stratum" not in got.columns and {r.teks_root for r in got.collect()} == {"akar"}
+    with pytest.raises(ValueError):
+        pilot.prepare(df, 5, 5, "1.0")
+
+
+def test_any_scorer(spark):
+    from benang.operators import ml
+
+    df = spark.createDataFrame([("1", "ya"), ("2", None)], "tweet_id string, t string")
+    got = {r.tweet_id: (r.prediction, r.status) for r in ml.score_with(df, "t", lambda: lambda texts: [[0.9, 0.1] if t else [0.5, 0.5] for t in texts], ["A", "B"]).collect()}
+    assert got == {"1": ("A", "ACCEPTED"), "2": ("A", "NEEDS_REVIEW")}
+
+
+def test_experiments(spark):
+    from benang.operators import ml
+
+    rows = [(f"{c}{i}", f"{w} {w} kata{i % 3}", c, w) for c, w in (("A", "enak gurih"), ("B", "audit dana"), ("C", "paket tumpah")) for i in range(8)]
+    df = spark.createDataFrame(rows, "tweet_id string, text string, label string, root_text string")
+    got = {r.experiment: r.macro_f1 for r in ml.run_experiments(df, df, ["E2"], ["A", "B", "C"]).collect()}
+    assert set(got) == {"E2"}
+    assert set(ml.REGISTRY) == {"E0", "E1", "E2", "E3", "E4", "E5", "E6", "Audit"}
+
+
+def test_queue_seeds(spark):
+    seeds = spark.createDataFrame([("123456", True), ("12", False), ("999999", True)], "seed_id string, valid boolean")
+    queue = spark.createDataFrame([("999999", "k")], "tweet_id string, keyword_matched string")
+    assert {tuple(r) for r in relations.queue_seeds(seeds, queue).collect()} == {("999999", "k"), ("123456", "MANUAL_SEED")}
