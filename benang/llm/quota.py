@@ -111,8 +111,11 @@ def draw(coordinator: DataFrame, threads: DataFrame, plans: DataFrame, seed: str
     """The sample: plan_name, sampling_stratum, tweet_id, root_tweet_id."""
     cands = candidates(coordinator, threads)
     quotas = allocate(available(cands, plans))
+    most = plan_rows(plans).agg(F.coalesce(F.max("cap"), F.lit(0))).first()[0]
     h = F.md5(F.concat_ws("|", F.lit(seed), "tweet_id"))
     ranked = cands.withColumn("h", h).withColumn("in_root", F.dense_rank().over(W.partitionBy("stratum", "root").orderBy("h", "tweet_id")))
+    # the constant limit lets Spark cut each thread before it is shuffled
+    ranked = ranked.where(F.col("in_root") <= most)
     met = ranked.join(broadcast_if_small(quotas.where("quota > 0"), plans), "stratum").where("in_root <= cap")
     # a first rank within hash ranges keeps the final rank of a hot stratum small: only rows that can still be
     # drawn from a range go on
