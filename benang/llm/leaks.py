@@ -198,17 +198,26 @@ def stretch(path: list[tuple[int, int]], least: int, slack: float) -> tuple[int,
     return best
 
 
-def candidates(hits: list[tuple[int, int]], need: int, window: int = 40, drift: int = 10) -> list[tuple[int, int]]:
-    """Doc ranges in which at least ``need`` phrase hits of an item lie close together and near one diagonal."""
+def candidates(hits: list[tuple[int, int]], seed: int, need: int, window: int = 40, drift: int = 10) -> list[tuple[int, int]]:
+    """Doc ranges in which phrase hits of an item lie close together and near one diagonal and cover at least
+    ``need`` words. Fifteen words with three of them changed keep twelve in stretches of three, so eleven lose none."""
     hits = sorted(set(hits))
     out: list[tuple[int, int]] = []
     for k, (d, i) in enumerate(hits):
-        near = sum(1 for d2, i2 in hits[k:k + 4 * window] if d2 - d <= window and abs((d2 - i2) - (d - i)) <= drift)
-        if near >= need:
+        if out and d <= out[-1][1]:
+            continue
+        covered, reach = 0, d
+        for d2, i2 in hits[k:]:
+            if d2 - d > window:
+                break
+            if abs((d2 - i2) - (d - i)) <= drift:
+                covered += min(seed, max(0, d2 + seed - reach))
+                reach = max(reach, d2 + seed)
+        if covered >= need:
             if out and d - out[-1][1] <= 2 * window:
-                out[-1] = (out[-1][0], d)
+                out[-1] = (out[-1][0], reach)
             else:
-                out.append((d, d))
+                out.append((d, reach))
     return out
 
 
@@ -234,10 +243,10 @@ def scan(docs: list[tuple[int, np.ndarray]], items: Items, least: int, slack: fl
             hits[d, item].append((at, i))
     found = []
     for (d, item), h in hits.items():
-        if len(h) < need:
+        if len(h) * items.seed < need:
             continue
         seq_i = items.seqs[item]
-        for first, last in candidates(h, need):
+        for first, last in candidates(h, items.seed, need):
             a, b = max(0, first - 60), min(len(docs[d][1]), last + 60)
             span = stretch(align(docs[d][1][a:b], seq_i), least, slack)
             if span:
@@ -248,7 +257,7 @@ def scan(docs: list[tuple[int, np.ndarray]], items: Items, least: int, slack: fl
 LEAKS = "doc_id long, item_id long, first_word int, end_word int"
 
 
-def leaks(docs: DataFrame, evals: DataFrame, least: int = 15, slack: float = 0.2, seed: int = 3, need: int = 4, block: int = 5_000) -> DataFrame:
+def leaks(docs: DataFrame, evals: DataFrame, least: int = 15, slack: float = 0.2, seed: int = 3, need: int = 11, block: int = 5_000) -> DataFrame:
     """doc_id, item_id and the word span of each leaked passage. The items are the query set; they are taken in
     blocks of ``block`` items, each block against all documents."""
     rows = [(int(r[0]), r[1]) for r in evals.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()]

@@ -56,12 +56,19 @@ TELLS = re.compile(
     r"\bwaktu (?!habis)\w|\bketika\b|\bsaat\b|\bkatanya\b|menertawakan|dipakai sebagai|belajar bahwa|akan diganti|menurut catatan|tanda kurung|jadi (?:\w+ ){0,4}(?:membantu|harus)|satu per satu|sempat|selama \d+ menit|dibagikan ke|masih memakai|menampilkan tulisan|karena \w+ \w* ?lupa|ditolak petugas|said|laughed|told|noticed|explained|while \w+ (?:was|were)|training",
     re.I,
 )
-#: what every detector needs; texts without it are not looked at further
-CUE = re.compile(
-    r"[{}\[\]<>%$@_#|…]|\.{6}|\( {4}|null|NaN|None|undefined"
-    r"|(?i:ipsum|dolor|contoh|percoba|placeholder|text|another|dashboard|soon|segera|construction|deskripsi|maks|todo|di sini|lengkapi|diterbitkan|hello|sample|bawaan|pertama!|sunting|delete|your|coret|lampirkan|cetak"
-    r"|exception|trace|keyerror|error|galat|kesalahan|http|defined|exhausted|refused|gateway|server|unavailable|wrong|upstream|anymore|searching|looking|denied|forbidden|not found|gagal|koneksi|batas waktu|layanan|perawatan|ditemukan|dimuat|tampil|wilayah|izin|sesi|masuk kembali|salah ketik|gangguan|kode|beranda|memuat|loading|robot|captcha|coba|\bref|script|skrip|\bjs\b|browser|peramban|pemblokir|tangan)"
+#: what every detector needs: one of these words or signs; texts and sentences without are not looked at further
+CUE_WORDS = frozenset(
+    "lorem ipsum dolor contoh percobaan placeholder text another dashboard soon segera construction deskripsi maks todo sini lengkapi diterbitkan hello sample bawaan postingan sunting edit delete your coret lampirkan cetak percontohan ganti"
+    " nullpointerexception exception traceback stack keyerror error galat kesalahan http defined exhausted refused gateway server service unavailable wrong upstream anymore searching looking access denied forbidden found gagal koneksi batas layanan perawatan ditemukan dimuat tampil tersedia wilayah izin izinkan sesi masuk salah gangguan kode beranda memuat loading robot captcha coba ref reference"
+    " javascript java script scripts skrip js noscript cookies browser peramban pemblokir tangan null nan none undefined sqlstate warning template".split()
 )
+CUE_SIGNS = re.compile(r"[{}\[\]<>%$@_#|…]|\.{6}|\( {4}")
+
+
+def cued(text: str, words) -> bool:
+    return not CUE_WORDS.isdisjoint(words) or CUE_SIGNS.search(text) is not None
+
+
 #: a sentence that tells about a placeholder
 TELLS_SLOT = re.compile(r"belajar bahwa|akan diganti|tanda kurung|katanya|menertawakan|will be replaced|placeholder (?:is|means)", re.I)
 FUNCTION_WORDS = frozenset(
@@ -103,19 +110,21 @@ def detect(text: str) -> tuple[int, int, int, int]:
     """Counts of placeholders, forms, fillers and notices that are used, not told about."""
     clean = BLANKS.sub(" ", MARKUP.sub(" ", text))
     slots = forms = fillers = notices = 0
-    if CUE.search(clean):
-        for s in SENTENCE.split(clean):
-            if not s or not CUE.search(s):
+    words = [w.lower() for w in WORD.findall(clean)]
+    if cued(MARKUP.sub(" ", text), words):
+        # runs of blanks matter to forms only, so signs are looked for before they are collapsed
+        for s in SENTENCE.split(MARKUP.sub(" ", text)):
+            if not s or not cued(s, WORD.findall(s.lower())):
                 continue
+            forms += FORM.search(s) is not None
+            s = BLANKS.sub(" ", s)
             told = TELLS.search(s) is not None
             marks = len(STRONG.findall(s))
             slots += 0 if marks < 2 and TELLS_SLOT.search(s) else marks
             slots += len(SURE_ABSENT.findall(s)) + (len(ABSENT.findall(s)) >= 2)
-            forms += FORM.search(s) is not None
             if not told:
                 fillers += len(FILLER.findall(s))
                 notices += len(NOTICE.findall(s)) + len(SCRIPTS.findall(s))
-    words = [w.lower() for w in WORD.findall(clean)]
     only = len(words) >= 4 and len(set(words)) <= 2 or len(words) >= 10 and FUNCTION_WORDS.isdisjoint(words) and len(words) < 200
     if only or repeated_run(words) or any(filler_run([w.lower() for w in WORD.findall(s)]) for s in STRETCH.split(clean) if len(s) > 60):
         fillers += 1
