@@ -237,6 +237,7 @@ def queries() -> dict:
         # streams
         "r1_discover": lambda s, d: streams.discover(t(s, d, "threads")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
         "r3_deferred": lambda s, d: streams.deferred(t(s, d, "threads")).select("tweet_id").distinct(),
+        "r3_stream_deferred": lambda s, d: streams.stream_deferred(s, f"{d}/threads.parquet*", t(s, d, "threads").schema).select("tweet_id").distinct(),
         "r4_root_states": lambda s, d: streams.root_states(t(s, d, "threads")),
         "r9_stream_distinct": lambda s, d: streams.stream_distinct(s, f"{d}/threads.parquet*", t(s, d, "threads").schema, "tweet_id").select("tweet_id"),
         "r_windows": lambda s, d: streams.windowed_counts(s, f"{d}/events.parquet*", t(s, d, "events").schema, "ts", "1 day", "2 hours", "event_type"),
@@ -446,6 +447,7 @@ def oracle_sql() -> dict[str, str]:
     sql["f8_required"] = "SELECT " + ", ".join(f"count(*) FILTER (trim(coalesce({c}, '')) = '') AS {c}" for c in files.REQUIRED) + " FROM threads"
     sql["a6_sorted_counter"] = "SELECT CASE WHEN trim(coalesce(bahasa, '')) = '' THEN '(kosong)' ELSE bahasa END AS value, count(*) AS n FROM threads GROUP BY 1 ORDER BY n DESC, value"
     sql["a8_source_audit"] = f"SELECT total_rows, distinct_ids, invalid_ids, orphans, (SELECT count(*) FROM threads WHERE coalesce(hierarki_komentar, '') NOT IN ('Root_Tweet', 'Direct_Reply', 'Nested_Reply')) AS open_levels FROM ({sql['a1_audit']})"
+    sql["r3_stream_deferred"] = sql["r3_deferred"]
     broken = {"empty": "total_rows = 0", "duplicates": "duplicate_rows > 0", "invalid_ids": "invalid_ids > 0", "scientific_ids": "scientific_ids > 0", "bad_roots": "bad_roots > 0", "bad_direct": "bad_direct > 0", "bad_nested": "bad_nested > 0", "orphans": "orphans > 0", "blank_text": "blank_teks_komentar > 0"}
     listed = "list_filter([" + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in broken.items()) + "], lambda x: x IS NOT NULL)"
     sql["a7_contract"] = f"SELECT coalesce(array_to_string({listed}, ','), '') AS broken, len({listed}) = 0 AS ok FROM ({sql['a1_audit']})"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -30,6 +31,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark).rstrip('/')}/benang-{uuid.uuid4().hex}"
         self.count = 0
+        if urlparse(self.base).scheme in ("", "file"):
+            atexit.register(shutil.rmtree, urlparse(self.base).path, ignore_errors=True)
         self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:

@@ -41,6 +41,37 @@ def deferred(df: DataFrame) -> DataFrame:
     return n.where(F.col("level").isin(DIRECT, NESTED)).join(verified, "root_tweet_id", "left_semi")
 
 
+RELEASED = "tweet_id string, root_tweet_id string"
+
+
+def release(key, batches, state):
+    """Replies of one root: held until a verified root row has come, passed on from then on."""
+    import pandas as pd
+
+    verified, held = state.get if state.exists else (False, [])
+    held = list(held)
+    for b in batches:
+        verified = verified or bool(b["root_ok"].any())
+        held += b.loc[b["reply"], "tweet_id"].tolist()
+    state.update((verified, [] if verified else held))
+    if verified and held:
+        yield pd.DataFrame({"tweet_id": held, "root_tweet_id": [key[0]] * len(held)})
+
+
+def stream_deferred(spark: SparkSession, source: str, schema, files_per_batch: int = 1) -> DataFrame:
+    """The deferred replies of a stream of files: what came before its root is released when the root comes."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    scratch = Scratch(spark)
+    out, mark = f"{scratch.base}/released", f"{scratch.base}/mark"
+    n = with_level(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)).where("root_tweet_id <> ''")
+    ok = (F.col("level") == ROOT) & is_root(F.col("teks_komentar"), F.col("tweet_id"), F.col("conversation_id"), F.col("in_reply_to_tweet_id"))
+    rows = n.select("tweet_id", "root_tweet_id", ok.alias("root_ok"), F.col("level").isin(DIRECT, NESTED).alias("reply")).where("root_ok or reply").dropDuplicates(["tweet_id", "root_tweet_id", "root_ok"])
+    done = rows.groupBy("root_tweet_id").applyInPandasWithState(release, RELEASED, "verified boolean, held array<string>", "append", GroupStateTimeout.NoTimeout)
+    done.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(RELEASED).parquet(out)
+
+
 def quota(df: DataFrame, target: int, order: list[str]) -> DataFrame:
     """Exactly the first ``target`` records of an order."""
     return df.orderBy(*order).limit(target)

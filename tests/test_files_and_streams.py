@@ -109,3 +109,17 @@ def test_latest_file_lines_report(spark, tmp_path):
     assert files.latest_file(spark, str(tmp_path)).first().path.endswith("a.csv")
     files.write_lines(spark.createDataFrame([("satu",), ("#dua",)], "k string"), "k", str(tmp_path / "k"))
     assert {r.value for r in files.read_lines(spark, str(tmp_path / "k")).collect()} == {"satu", "#dua"}
+
+
+def test_replies_wait_for_their_root(spark, tmp_path):
+    src = str(tmp_path / "src")
+    schema = "tweet_id string, root_tweet_id string, conversation_id string, in_reply_to_tweet_id string, teks_komentar string"
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
+    put([("2", "1", "1", "1", "balasan"), ("9", "8", "8", "8", "tanpa akar")])
+    put([("1", "1", "1", "", "akar"), ("3", "1", "1", "2", "balasan")])
+    put([("4", "1", "1", "1", "balasan"), ("2", "1", "1", "1", "balasan")])
+    got = sorted(r.tweet_id for r in streams.stream_deferred(spark, src, schema).collect())
+    assert got == ["2", "3", "4"]
