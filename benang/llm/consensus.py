@@ -163,17 +163,23 @@ def with_priors(post: DataFrame, k: int, scratch: Scratch, weight: float = 1.0,
     return post.join(scored, "item", "left").select("item", "text", "annotators", "labels", prior.alias("prior"))
 
 
-def fit(table: DataFrame, k: int, rounds: int = 25, tolerance: float = 1e-3, max_annotators: int = 100_000) -> Mixture:
-    names = [r[0] for r in table.select(F.explode("annotators").alias("a")).distinct().limit(max_annotators + 1).collect()]
-    if len(names) > max_annotators:
-        raise ValueError(f"more than {max_annotators} annotators")
-    model = Mixture(sorted(names), k)
+def fit(table: DataFrame, k: int, rounds: int = 25, tolerance: float = 1e-3, max_annotators: int = 100_000, model: Mixture | None = None) -> Mixture:
+    """The mixture fitted to items; a given model goes on from where it stands."""
+    if model is None:
+        model = start(table, k, max_annotators)
     for _ in range(rounds):
         if model.update(expectation(table, model)) < tolerance:
             break
     return model
 
 
+def start(table: DataFrame, k: int, max_annotators: int) -> Mixture:
+    names = [r[0] for r in table.select(F.explode("annotators").alias("a")).distinct().limit(max_annotators + 1).collect()]
+    if len(names) > max_annotators:
+        raise ValueError(f"more than {max_annotators} annotators")
+    return Mixture(sorted(names), k)
+
+
 def solve(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES) -> tuple[DataFrame, Mixture]:
     """Items with final posteriors ``p``, and the fitted mixture."""
     k = len(categories)
@@ -182,7 +188,7 @@ def solve(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES
     model = fit(table, k)
     for _ in range(2):
         informed = scratch.save(with_priors(scratch.save(posteriors(table, model)), k, scratch))
-        model = fit(informed, k)
+        model = fit(informed, k, model=model)
         table = informed
     return scratch.save(posteriors(table, model)), model
 
