@@ -51,7 +51,7 @@ def sample(df: DataFrame, total: int, cap: int, seed: str = "20260907", strata:
     if total <= 0 or cap <= 0:
         raise ValueError("total and cap must be positive")
     scratch = Scratch(df.sparkSession)
-    pool = df.select("tweet_id", "root_tweet_id", "stratum")
+    pool = scratch.save(df.select("tweet_id", "root_tweet_id", "stratum"))
     chosen, taken = None, 0
     quota = max(total // len(strata), 1)
     for stage in [*strata, REST]:
