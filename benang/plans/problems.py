@@ -48,7 +48,7 @@ paths AS (SELECT id AS tweet_id, top, depth, 'top' AS ends, path FROM down UNION
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p6_paths": P6_PATHS + "SELECT * FROM paths",
+        "p6_paths": P6_PATHS + "SELECT tweet_id, top, depth::BIGINT AS depth, ends, path FROM paths",
         "p6_descendants": P6_PATHS + ", steps AS (SELECT tweet_id, depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) - 1 AS pos FROM paths WHERE path IS NOT NULL) SELECT ancestor AS tweet_id, count(*) AS n_descendants, max(depth - pos) AS height FROM steps WHERE ancestor <> tweet_id GROUP BY 1",
         "p2_found": P2_REFS + "SELECT DISTINCT src_table, tweet_id, ref_field, missing_id FROM orphan",
         "p2_report": P2_REFS + "SELECT src_table, ref_field, period, count(*) AS n_refs, count(DISTINCT missing_id) AS n_missing FROM (SELECT DISTINCT * FROM orphan) GROUP BY ALL",

@@ -15,7 +15,7 @@ def connect(folder: str):
 
 
 def cell(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, bool):
         return str(v)
