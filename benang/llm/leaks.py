@@ -3,11 +3,12 @@
 A shard is the word sequence of the documents of one task, as ids over the words of the evaluation items. Its
 suffix array gives the Burrows-Wheeler transform, kept as a wavelet tree; every phrase of ``seed`` words of the
 items is found by backward search with wavelet-tree ranks and its occurrences are located through sampled suffix
-positions. Documents in which phrases of an item come close to each other are aligned with the item word by word;
-an aligned stretch of at least ``least`` words of the item with about one in six of them changed, dropped or put
-in is a leak. Spans of several items are merged for removal.
+positions. Where phrases of an item come close to each other in a document, every unbroken stretch is extended over
+both ends word by word; a passage of at least ``least`` words of the item with at most one in six of them changed,
+dropped or put in is a leak. All passages of an item are given; spans of several items are merged for removal.
 
-Why ``seed`` = 3: fifteen words with up to three changes keep an unbroken stretch of three words.
+Why ``seed`` = 3: fifteen words with up to three changes keep an unbroken stretch of three words. Thirteen unbroken
+words whose both neighbours differ are a short quotation: no changed word can be told from a foreign one there.
 
 Defined results: case, punctuation, spacing, accents, zero-width characters and markup do not count; null and
 blank texts and items hold nothing; copies of a document are each reported; very long texts make a shard of their
@@ -35,6 +36,8 @@ ZERO_WIDTH = dict.fromkeys([0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x00AD])
 #: words of a shard before its index is built
 SHARD_WORDS = 300_000
 OTHER, END = 1, 0
+#: changes a passage is extended over at a time, to each side
+STEP = 6
 
 
 def fold(text: str) -> str:
@@ -155,52 +158,85 @@ class Items:
         self.symbols = len(self.vocab) + 2
 
 
-def align(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int]]:
-    """Best local alignment (match 1, change, drop and put-in -2): matched (doc position, item position) in order."""
-    n, m = len(doc), len(item)
-    h = np.zeros((n + 1, m + 1), np.int32)
-    cols = 2 * np.arange(m + 1, dtype=np.int32)
-    for i in range(1, n + 1):
-        t = np.maximum(h[i - 1] - 2, 0)
-        t[1:] = np.maximum(t[1:], h[i - 1, :-1] + np.where(item == doc[i - 1], 1, -2))
-        h[i] = np.maximum.accumulate(t + cols) - cols
-    i, j = np.unravel_index(int(h.argmax()), h.shape)
-    path = []
-    while i > 0 and j > 0 and h[i, j] > 0:
-        if doc[i - 1] == item[j - 1] and h[i, j] == h[i - 1, j - 1] + 1:
-            path.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j - 1] - 2:
-            i, j = i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] - 2:
-            i -= 1
-        else:
-            j -= 1
-    return path[::-1]
+def worst_cover(least: int, share: float, seed: int) -> int:
+    """Fewest words in unbroken stretches of ``seed`` that a passage of ``least`` words or more keeps with up to
+    ``share`` of its words changed: every change may leave seed - 1 words alone, the rest stands in one stretch.
+    (Fifteen words with two changes, matched 2, 2, 9: nine.)"""
+    return min(n - k - (seed - 1) * k for n in range(least, 3 * least) for k in [int(n * share + 1e-9)])
 
 
-def stretch(path: list[tuple[int, int]], least: int, slack: float) -> tuple[int, int] | None:
-    """The longest part of an alignment that spans ``least`` words of the item with few enough changes; doc span.
+def runs_of(hits: list[tuple[int, int]], seed: int) -> list[tuple[int, int, int]]:
+    """Unbroken stretches (doc position, item position, words) of phrase hits, longest first."""
+    out: list[list[int]] = []
+    for _, d, i in sorted({(i - d, d, i) for d, i in hits}):
+        if out and i - d == out[-1][1] - out[-1][0] and d <= out[-1][0] + out[-1][2]:
+            out[-1][2] = d + seed - out[-1][0]
+        else:
+            out.append([d, i, seed])
+    return sorted(((d, i, n) for d, i, n in out), key=lambda r: (-r[2], r[0], r[1]))
 
-    A part whose first or last word was itself changed shows one word less, hence least - 1."""
-    best = None
-    for a in range(len(path)):
-        for b in range(len(path) - 1, a, -1):
-            span_d, span_i = path[b][0] - path[a][0] + 1, path[b][1] - path[a][1] + 1
-            if span_i < least - 1 or (best and span_d <= best[1] - best[0]):
-                break
-            matched = b - a + 1
-            # changed words count once, words put in or dropped once each
-            edits = max(span_d, span_i) - matched
-            if edits <= slack * max(span_d, span_i) and (span_i >= least or matched >= least - 2):
-                best = (path[a][0], path[b][0] + 1)
+
+def reaches(doc: list[int], item: list[int], edits: int) -> np.ndarray:
+    """How far the beginnings of two sequences agree with 0, 1, ... ``edits`` words changed, dropped or put in: rows
+    (doc words, item words, matched words, changes), each ending on a match; by furthest points per diagonal."""
+    n, m = len(doc), len(item)
+    out = [(0, 0, 0, 0)]
+    far: dict[int, tuple[int, int]] = {0: (0, 0)}
+    for e in range(edits + 1):
+        if e:
+            nxt: dict[int, tuple[int, int]] = {}
+            for k, (x, got) in far.items():
+                for k2, x2 in ((k, x + 1), (k - 1, x + 1), (k + 1, x)):
+                    if x2 <= n and x2 + k2 <= m and (x2, got) > nxt.get(k2, (-1, 0)):
+                        nxt[k2] = (x2, got)
+            far = nxt
+        for k, (x, got) in far.items():
+            x0 = x
+            while x < n and x + k < m and doc[x] == item[x + k]:
+                x += 1
+            if x > x0:
+                got += x - x0
+                far[k] = (x, got)
+                out.append((x, x + k, got, e))
+    return np.array(out, np.int64)
+
+
+def passages(doc: np.ndarray, item: np.ndarray, runs: list[tuple[int, int, int]], least: int, slack: float) -> list[tuple[int, int]]:
+    """Doc spans of the passages of ``item``: every unbroken stretch is extended over both ends and the longest
+    extension of at least ``least`` words with few enough changes is taken, and extended again while it grows;
+    stretches inside an accepted passage are spent, all others go on.
+
+    A change is paid by 1 / ``slack`` matched words anywhere in the passage (0.2: five, which is one word in six).
+    STEP changes a side lose none: of a passage of twice ``least`` words or more one half has few enough changes
+    too. A passage whose first or last word was itself changed shows one word less, hence least - 1."""
+    words, whole = item.tolist(), doc.tolist()
+    margin = len(words) + STEP
+    taken: list[tuple[int, int, int, int]] = []
+    for d, i, n in runs:
+        if any(a <= d and d + n <= b and ia <= i and i + n <= ib for a, b, ia, ib in taken):
+            continue
+        a, b, ia, ib, core, changed, grown = d, d + n, i, i + n, n, 0, True
+        accepted = False
+        while grown:
+            left = reaches(whole[max(0, a - margin):a][::-1], words[:ia][::-1], STEP)
+            right = reaches(whole[b:b + margin], words[ib:], STEP)
+            span_d, span_i, matched, edits = (left[:, None, c] + right[None, :, c] for c in range(4))
+            span_d, span_i, matched, edits = span_d + b - a, span_i + ib - ia, matched + core, edits + changed
+            good = (edits <= slack * matched + 1e-9) & ((span_i >= least) | ((span_i >= least - 1) & (matched >= least - 2)))
+            if not good.any():
                 break
-    return best
+            at_l, at_r = np.unravel_index(int(np.where(good, span_d * 1_000 + matched, -1).argmax()), good.shape)
+            grown = bool(at_l or at_r)
+            core, changed, accepted = int(matched[at_l, at_r]), int(edits[at_l, at_r]), True
+            a, b, ia, ib = a - int(left[at_l, 0]), b + int(right[at_r, 0]), ia - int(left[at_l, 1]), ib + int(right[at_r, 1])
+        if accepted:
+            taken.append((a, b, ia, ib))
+    return sorted({(a, b) for a, b, _, _ in taken})
 
 
 def candidates(hits: list[tuple[int, int]], seed: int, need: int, window: int = 40, drift: int = 10) -> list[tuple[int, int]]:
     """Doc ranges in which phrase hits of an item lie close together and near one diagonal and cover at least
-    ``need`` words. Fifteen words with three of them changed keep twelve in stretches of three, so eleven lose none."""
+    ``need`` words (worst_cover)."""
     hits = sorted(set(hits))
     out: list[tuple[int, int]] = []
     for k, (d, i) in enumerate(hits):
@@ -246,20 +282,21 @@ def scan(docs: list[tuple[int, np.ndarray]], items: Items, least: int, slack: fl
         if len(h) * items.seed < need:
             continue
         seq_i = items.seqs[item]
-        for first, last in candidates(h, items.seed, need):
-            a, b = max(0, first - 60), min(len(docs[d][1]), last + 60)
-            span = stretch(align(docs[d][1][a:b], seq_i), least, slack)
-            if span:
-                found.append((docs[d][0], item, a + span[0], a + span[1]))
+        ranges = candidates(h, items.seed, need)
+        if ranges:
+            near = [x for x in h if any(first <= x[0] < last for first, last in ranges)]
+            for first, end in passages(docs[d][1], seq_i, runs_of(near, items.seed), least, slack):
+                found.append((docs[d][0], item, first, end))
     return found
 
 
 LEAKS = "doc_id long, item_id long, first_word int, end_word int"
 
 
-def leaks(docs: DataFrame, evals: DataFrame, least: int = 15, slack: float = 0.2, seed: int = 3, need: int = 11, block: int = 5_000) -> DataFrame:
+def leaks(docs: DataFrame, evals: DataFrame, least: int = 15, slack: float = 0.2, seed: int = 3, need: int | None = None, block: int = 5_000) -> DataFrame:
     """doc_id, item_id and the word span of each leaked passage. The items are the query set; they are taken in
     blocks of ``block`` items, each block against all documents."""
+    need = worst_cover(least, 1 / 6, seed) if need is None else need
     rows = [(int(r[0]), r[1]) for r in evals.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()]
     blocks = [Items(rows[i:i + block], seed) for i in range(0, max(1, len(rows)), block)]
     texts = docs.where("doc_id is not null").select("doc_id", "text")

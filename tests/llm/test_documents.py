@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -94,6 +95,33 @@ def test_spans_merge_and_report(spark):
     assert {r.item_id: r.n_docs for r in leaks.report(d, e).collect()} == {0: 1, 1: 1, 2: 0}
 
 
+def scanned(words, item=0):
+    known = leaks.Items(list(enumerate(ITEMS)), 3)
+    ids = [np.array([known.vocab.get(x, leaks.OTHER) for x in words], np.int64)]
+    return [x[2:] for x in leaks.scan([(1, ids[0])], known, 15, 0.2, leaks.worst_cover(15, 1 / 6, 3)) if x[1] == item]
+
+
+def test_changes_at_every_place():
+    foreign = noise(20).split()
+    cases = [(15, c) for k in (1, 2) for c in itertools.combinations(range(15), k)] + [(17, (2, 14)), (18, (2, 5, 8))]
+    for n, places in cases:
+        for how in ("changed", "dropped", "added"):
+            w = piece(0, 20, n)
+            for at in reversed(places):
+                w[at:at + 1] = {"changed": ["ganti"], "dropped": [], "added": [w[at], "tambah"]}[how]
+            kept = [x for x in range(n) if x not in places or how == "added"]
+            if how != "added" and kept[-1] - kept[0] + 1 < 14:  # unbroken, its neighbours changed: a short quotation
+                continue
+            assert scanned(foreign + w + foreign), (n, places, how)
+    assert leaks.worst_cover(15, 1 / 6, 3) == 9
+
+
+def test_short_quotation_hides_no_passage():
+    w = piece(0, 40, 15)
+    w[2] = w[12] = "ganti"
+    assert scanned(noise(9).split() + piece(0, 2, 13) + noise(9).split() + w + noise(9).split())
+
+
 def test_items_in_blocks(spark):
     d = spark.createDataFrame([(i, ITEMS[i], None, 0, None) for i in range(5)], DOCS)
     e = spark.createDataFrame([(i, t, "test", 0) for i, t in enumerate(ITEMS)], EVALS)
