@@ -122,6 +122,14 @@ def test_short_quotation_hides_no_passage():
     assert scanned(noise(9).split() + piece(0, 2, 13) + noise(9).split() + w + noise(9).split())
 
 
+@pytest.mark.parametrize("gap", [25, 50, 79])
+def test_every_passage_of_an_item_has_a_span(gap):
+    a, b, c = (noise(n).split() for n in (10, gap, 10))
+    whole = piece(0, 0, 60)
+    assert scanned(a + whole + b + whole + c) == [(10, 70), (70 + gap, 130 + gap)]
+    assert scanned(a + whole[:30] + b + whole[30:] + c) == [(10, 40), (40 + gap, 70 + gap)]
+
+
 def test_items_in_blocks(spark):
     d = spark.createDataFrame([(i, ITEMS[i], None, 0, None) for i in range(5)], DOCS)
     e = spark.createDataFrame([(i, t, "test", 0) for i, t in enumerate(ITEMS)], EVALS)
