@@ -226,3 +226,47 @@ def descendants(tree: DataFrame) -> DataFrame:
 def descendant_counts(tree: DataFrame) -> DataFrame:
     below = descendants(tree).groupBy(F.col("ancestor").alias("tweet_id")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("distance").alias("height"))
     return below
+
+
+def rings(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, far, steps: every other member of the cycle of an id with the way up to it, of links id -> parent of cycle
+    members only; walks of doubled length until nothing new is met."""
+    met = scratch.save(links.where(F.col("id") != F.col("parent")).select("id", F.col("parent").alias("far"), F.lit(1).cast("long").alias("steps")))
+    before, reach = met.count(), 1
+    while True:
+        on = met.select(F.col("id").alias("far"), F.col("far").alias("next"), F.col("steps").alias("more"))
+        longer = met.where(F.col("steps") == reach).join(on, "far").where(F.col("next") != F.col("id")).select("id", F.col("next").alias("far"), (F.col("steps") + F.col("more")).alias("steps"))
+        nxt = scratch.save(met.unionByName(longer).groupBy("id", "far").agg(F.min("steps").alias("steps")))
+        scratch.drop(met)
+        met, reach, size = nxt, 2 * reach, nxt.count()
+        if size == before:
+            return met
+        before = size
+
+
+def relations(threads: DataFrame, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
+    """ancestor, tweet_id, distance over whole threads, cycles and what hangs below them included.
+
+    Every post is an ancestor of whatever reaches it by parents, the nearest way counts; on a cycle every member is
+    above every other and above all that leads into it, none above itself. An absent parent is an ancestor too."""
+    scratch = Scratch(threads.sparkSession)
+    links = scratch.save(nodes(threads).select("id", "parent", "root"))
+    tree = scratch.save(resolve(links, with_path=True, block=block, tasks=tasks).withColumnRenamed("id", "tweet_id"))
+    looped = scratch.save(tree.where(F.col("ends").isin("cycle", "into_cycle")).select(F.col("tweet_id").alias("id"), "ends"))
+    out = descendants(tree)
+    if looped.isEmpty():
+        return out
+    # cut every cycle above each of its members: what hangs below a member is then a tree with that member as its top
+    inside = scratch.save(links.join(looped, "id"))
+    cut = inside.select("id", F.when(F.col("ends") != "cycle", F.col("parent")).alias("parent"), "root")
+    below = scratch.save(resolve(cut, with_path=True, block=block, tasks=tasks).withColumnRenamed("id", "tweet_id"))
+    ring = rings(inside.where(F.col("ends") == "cycle"), scratch).withColumnRenamed("id", "top")
+    round_ = below.join(ring, "top").select(F.col("far").alias("ancestor"), "tweet_id", (F.col("depth") + F.col("steps")).alias("distance"))
+    return out.unionByName(descendants(below)).unionByName(round_)
+
+
+def family_sizes(threads: DataFrame, block: int = BLOCK, tasks: int | None = None) -> DataFrame:
+    """tweet_id, n_descendants, height: one row per post, 0 and 0 without descendants; cycles as in relations()."""
+    some = relations(threads, block, tasks).select(F.col("ancestor").alias("tweet_id"), F.lit(1).alias("n"), "distance")
+    every = nodes(threads).select(F.col("id").alias("tweet_id"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("distance"))
+    return some.unionByName(every).groupBy("tweet_id").agg(F.sum("n").alias("n_descendants"), F.max("distance").alias("height"))

@@ -13,6 +13,8 @@ def queries() -> dict:
         "p6_found": lambda s, d: hierarchy.found(t(s, d, "threads")),
         "p6_paths": lambda s, d: hierarchy.paths(t(s, d, "threads")),
         "p6_descendants": lambda s, d: hierarchy.descendant_counts(hierarchy.paths(t(s, d, "threads"))),
+        "p6_relations": lambda s, d: hierarchy.relations(t(s, d, "threads")),
+        "p6_family_sizes": lambda s, d: hierarchy.family_sizes(t(s, d, "threads")),
     }
 
 

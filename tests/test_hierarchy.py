@@ -95,3 +95,31 @@ def test_hot_thread(spark):
     got = h.resolve(spark.createDataFrame(links, SCHEMA), block=20, tasks=4).collect()
     want = brute([x[:2] for x in links])
     assert {r.id: (r.ends, r.top, r.depth) for r in got} == want
+
+
+def climbed(links):
+    parent, out = {a: b for a, b, *_ in links}, {}
+    for v in parent:
+        cur, steps = parent[v], 1
+        while cur is not None and cur != v and (cur, v) not in out:
+            out[cur, v] = steps
+            cur, steps = parent.get(cur), steps + 1
+    return out
+
+
+@pytest.mark.parametrize("seed,block,tasks", [(1, 1000, 3), (2, 4, 5), (3, 4, 5)])
+def test_relations_of_every_post(spark, seed, block, tasks):
+    links = forest(seed) + [(f"c{i}", f"c{(i + 1) % 7}", "r") for i in range(7)] + [("d", "c3", "r"), ("e", "d", "q"), ("s", "s", "q"), ("u", "s", "q"), ("leaf", None, "a")]
+    df = spark.createDataFrame([(a, r, p, "", "", "", "", 0) for a, p, r in links], THREADS)
+    want = climbed(links)
+    got = [(r.ancestor, r.tweet_id, r.distance) for r in h.relations(df, block, tasks).collect()]
+    assert sorted(got) == sorted((a, b, n) for (a, b), n in want.items())
+    assert {("d", "e", 1), ("c3", "e", 2), ("c4", "e", 3), ("s", "u", 1)} <= set(got)
+    sizes = {r.tweet_id: (r.n_descendants, r.height) for r in h.family_sizes(df, block, tasks).collect()}
+    assert sizes["leaf"] == (0, 0) and {a for a, *_ in links} <= set(sizes)
+    assert all(n == sum(a == k for a, _ in want) for k, (n, _) in sizes.items())
+
+
+def test_relations_empty(spark):
+    df = spark.createDataFrame([], THREADS)
+    assert h.relations(df).count() == 0 and h.family_sizes(df).count() == 0
