@@ -17,6 +17,13 @@ RULES = {
 }
 STRATA = ["Distribusi_Signal", "Tata_Kelola_Signal", "Mutu_Gizi_Signal", "Overlap", "No_Signal"]
 REST = "~rest~"
+# the same of the sampler with escalating caps
+WIDE_RULES = {
+    "Mutu_Gizi": ["porsi", "gizi", "nutrisi", "protein", "kalori", "karbohidrat", "karbo", "sayur", "buah", "lauk", "menu", "rasa", "hambar", "asin", "manis", "enak", "kenyang", "basi", "busuk", "berjamur", "keracunan", "mual", "diare", "higienis", "higiene", "sanitasi", "kontaminasi", "kedaluwarsa", "kadaluarsa"],
+    "Tata_Kelola": ["vendor", "mitra", "dapur", "sppg", "bgn", "anggaran", "dana", "biaya", "korupsi", "mark[ -]?up", "audit", "transparansi", "akuntabilitas", "sop", "sertifikat", "sertifikasi", "inspeksi", "pengaduan", "aduan", "dilaporkan", "laporan", "tindak lanjut", "ditindaklanjuti", "evaluasi"],
+    "Distribusi": ["distribusi", "logistik", "kurir", "pengiriman", "dikirim", "terlambat", "telat", "jadwal", "rantai pasok", "dibagi", "pembagian", "dibagikan", "paket", "kemasan", "kotak", "bocor", "tumpah", "jangkauan", "terjangkau", "pelosok", "perbatasan", "tertinggal", "terluar", "3t", "kebagian"],
+}
+WIDE_STRATA = ["Distribusi_Signal", "Overlap", "Mutu_Gizi_Signal", "Tata_Kelola_Signal", "No_Signal"]
 
 
 def pattern(words: list[str]) -> str:
@@ -135,9 +142,9 @@ def blind(chosen: DataFrame, version: str) -> DataFrame:
     return chosen.select("tweet_id", "root_tweet_id", "teks_root", "teks_komentar", *[F.lit("").alias(c) for c in LABEL_COLUMNS], F.lit(version).alias("label_guide_version"))
 
 
-def escalating_sample(df: DataFrame, quota: int, caps: tuple[int, ...], seed: str = "20260907", strata: list[str] = STRATA) -> DataFrame:
-    """``quota`` rows of every stratum; where a cap per thread leaves a stratum short, the next cap is tried. Raises
-    where even the last does not do."""
+def escalating_sample(df: DataFrame, quota: int, caps: tuple[int, ...], seed: str = "20260907", strata: list[str] = STRATA, partial: bool = False) -> DataFrame:
+    """``quota`` rows of every stratum; where a cap per thread leaves a stratum short, the next cap is tried. Where
+    even the last does not do: raises, or with ``partial`` gives what the last cap gives, short strata as they are."""
     scratch = Scratch(df.sparkSession)
     df = scratch.save(df.select("tweet_id", "root_tweet_id", "stratum"))
     for cap in caps:
@@ -145,19 +152,21 @@ def escalating_sample(df: DataFrame, quota: int, caps: tuple[int, ...], seed: st
         full = chosen.groupBy("stage").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == quota).count()
         if full == len(strata):
             return chosen.withColumn("cap", F.lit(cap))
+    if partial:
+        return chosen.withColumn("cap", F.lit(caps[-1]))
     raise ValueError("a stratum is too small for its quota")
 
 
-def prepare(df: DataFrame, total: int, cap: int, version: str, seed: str = "20260907", rules: dict[str, list[str]] = RULES) -> DataFrame:
+def prepare(df: DataFrame, total: int, cap: int, version: str, seed: str = "20260907", rules: dict[str, list[str]] = RULES, partial: bool = False) -> DataFrame:
     """The blind pilot: replies with a filled context, strata, the sample, shuffled again; exactly ``total`` rows or
-    an error."""
+    an error, with ``partial`` all the cap allows where these are fewer."""
     from benang.operators.relations import direct_replies, roots_of, with_context
 
     frame = with_context(direct_replies(df), roots_of(df)).where((F.trim(text_or_blank(F.col("teks_root"))) != "") & (F.trim(text_or_blank(F.col("teks_komentar"))) != ""))
     frame = Scratch(df.sparkSession).save(with_stratum(frame, rules=rules))
     checked_ids(frame)
     chosen = sample(frame, total, cap, seed, [*[f"{c}_Signal" for c in reversed(rules)], "Overlap", "No_Signal"])
-    if chosen.count() != total:
+    if not partial and chosen.count() != total:
         raise ValueError("the data do not give so many rows")
     rows = frame.join(chosen.select("tweet_id"), "tweet_id", "left_semi")
     return blind(rows, version).orderBy(rank_hash(seed, "order", "tweet_id"))

@@ -178,6 +178,7 @@ def queries() -> dict:
         "o1_top_users": lambda s, d: summary.top(t(s, d, "threads"), "username"),
         "o2_rank": lambda s, d: lexicon.rank(lexicon.valid_mapping(t(s, d, "slang_map")).withColumn("source", F.when(F.length("slang") > 4, "elongation").otherwise("review")), 30),
         "o6_shuffle": lambda s, d: t(s, d, "pilot_raw").select("tweet_id").distinct().orderBy(F.md5(F.concat_ws("|", F.lit("20260907"), "tweet_id"))).limit(100),
+        "o6_shuffle_all": lambda s, d: t(s, d, "pilot_raw").select("tweet_id").distinct().orderBy(F.md5(F.concat_ws("|", F.lit("20260907"), "tweet_id"))),
         "w1_position": lambda s, d: pilot.hash_positions(posts(s, d).select("tweet_id", "root_tweet_id"), ["root_tweet_id"], F.md5(F.concat_ws("|", F.lit("7"), "tweet_id")), "tweet_id"),
         "w2_pilot_sample": pilot_sample,
         "w4_strata": lambda s, d: pilot.with_stratum(t(s, d, "threads")).groupBy("stratum", "reason").agg(F.count(F.lit(1)).alias("n")),
@@ -214,6 +215,7 @@ def queries() -> dict:
         "m1_class_metrics": lambda s, d: metrics.class_metrics(metrics.confusion(predicted(s, d), "true", "pred")),
         "m1_overall": lambda s, d: metrics.overall(metrics.confusion(predicted(s, d), "true", "pred")),
         "m2_bootstrap": lambda s, d: metrics.bootstrap(predicted(s, d), "true", "pred", "root_tweet_id", 200),
+        "m2_bootstrap_1000": lambda s, d: metrics.bootstrap(predicted(s, d), "true", "pred", "root_tweet_id"),
         "m3_kappa": lambda s, d: metrics.kappa(labelled(s, d), "a1", "a2"),
         "m5_per_root": lambda s, d: metrics.per_group_f1(predicted(s, d), "true", "pred", "root_tweet_id"),
         "m6_gates": lambda s, d: metrics.gates(relations.one_row(metrics.overall(metrics.confusion(predicted(s, d), "true", "pred")).select("macro_f1", "balanced_accuracy"), metrics.class_metrics(metrics.confusion(predicted(s, d), "true", "pred")).agg(F.min("recall").alias("least_recall"))).withColumns({"val_macro_f1": F.lit(None).cast("double"), "test_macro_f1": F.lit(None).cast("double"), "n_leaks": F.lit(0)})),
@@ -225,8 +227,8 @@ def queries() -> dict:
         "m22_keyword_labels": lambda s, d: ml.keyword_label(labelled(s, d).select("tweet_id", F.col("teks_komentar").alias("text"))).select("tweet_id", "prediction"),
         "m4_category_kappa": lambda s, d: metrics.category_kappa(labelled(s, d), "a1", "a2"),
         "m8_predictions": model_predictions,
-        "w3_escalating_sample": lambda s, d: pilot.escalating_sample(pilot.with_stratum(relations.direct_replies(posts(s, d))).where("root_tweet_id <> '' and stratum <> 'Overlap'"), 8, (1, 2, 3, 5, 300), strata=[x for x in pilot.STRATA if x != "Overlap"]),
-        "w5_prepare_pilot": lambda s, d: pilot.prepare(posts(s, d), 60, 5, "1.0"),
+        "w3_escalating_sample": lambda s, d: pilot.escalating_sample(pilot.with_stratum(relations.direct_replies(posts(s, d)), rules=pilot.WIDE_RULES).where("root_tweet_id <> ''"), 60, (3, 4, 5, 300), strata=pilot.WIDE_STRATA, partial=True),
+        "w5_prepare_pilot": lambda s, d: pilot.prepare(posts(s, d), 300, 5, "1.0", partial=True),
         "proj10_blind": lambda s, d: pilot.blind(t(s, d, "pilot_raw"), "2.0"),
         "proj13_label_map": lambda s, d: pilot.label_map(labelled(s, d), "a1"),
         "x4_presets": lambda s, d: pilot.presets({k: [*w, k.lower()] for k, w in pilot.RULES.items()}, s),
@@ -472,5 +474,8 @@ def oracle_sql() -> dict[str, str]:
             f"rk{i} AS (SELECT f.*, coalesce(u.n, 0) AS used, row_number() OVER (PARTITION BY f.root_tweet_id ORDER BY {h('f.tweet_id')}, f.tweet_id) AS k FROM fr f LEFT JOIN (SELECT root_tweet_id, count(*) AS n FROM ch{i - 1} GROUP BY 1) u ON u.root_tweet_id = f.root_tweet_id WHERE {where}f.tweet_id NOT IN (SELECT tweet_id FROM ch{i - 1}))",
             f"ch{i} AS MATERIALIZED (SELECT * FROM ch{i - 1} UNION ALL SELECT tweet_id, root_tweet_id, stratum, '{stage}' FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS at_ FROM rk{i} WHERE k <= 5 - used) WHERE at_ <= {want})",
         ]
+    # the whole permutation and all replicates; the SQL of the smaller queries stays as it is
+    sql["o6_shuffle_all"] = sql["o6_shuffle"].removesuffix(" LIMIT 100")
+    sql["m2_bootstrap_1000"] = sql["m2_bootstrap"].replace("range(200)", "range(1000)")
     sql["w2_pilot_sample"] = "WITH " + ", ".join(ctes) + " SELECT * FROM ch6"
     return sql

@@ -227,6 +227,28 @@ def test_prepare_needs_enough_rows(spark):
         pilot.prepare(df, 5, 5, "1.0")
 
 
+def test_short_strata_and_pilots_have_a_result(spark):
+    rows = [(f"{s}{i}", f"r{i % 2}", s) for s, n in (("A", 6), ("B", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "tweet_id string, root_tweet_id string, stratum string")
+    got = pilot.escalating_sample(df, 4, (1, 100), strata=["A", "B"], partial=True).collect()
+    assert sorted(r.stratum for r in got) == ["A"] * 4 + ["B"] * 2 and {r.cap for r in got} == {100}
+    s = "tweet_id string, root_tweet_id string, teks_komentar string, hierarki_komentar string"
+    df = spark.createDataFrame([("r", "r", "akar", "Root_Tweet"), *[(str(i), "r", "porsi kecil", "Direct_Reply") for i in range(9)]], s)
+    assert pilot.prepare(df, 300, 5, "1.0", partial=True).count() == 5
+
+
+def test_samples_have_the_survey_sizes(spark, data):
+    from benang.plans import reference
+
+    q, sql = reference.queries(), reference.oracle_sql()
+    assert q["o6_shuffle_all"](spark, data).count() == spark.read.parquet(f"{data}/pilot_raw.parquet").select("tweet_id").distinct().count()
+    assert "LIMIT" not in sql["o6_shuffle_all"] and "range(1000)" in sql["m2_bootstrap_1000"]
+    got = q["w3_escalating_sample"](spark, data)
+    per = {r["stage"]: r["count"] for r in got.groupBy("stage").count().collect()}
+    assert "Overlap" in per and max(per.values()) == 60, per
+    assert 60 < q["w5_prepare_pilot"](spark, data).count() <= 300
+
+
 def test_any_scorer(spark):
     from benang.operators import ml
 
