@@ -62,11 +62,16 @@ CUE_WORDS = frozenset(
     " nullpointerexception exception traceback stack keyerror error galat kesalahan http defined exhausted refused gateway server service unavailable wrong upstream anymore searching looking access denied forbidden found gagal koneksi batas layanan perawatan ditemukan dimuat tampil tersedia wilayah izin izinkan sesi masuk salah gangguan kode beranda memuat loading robot captcha coba ref reference"
     " javascript java script scripts skrip js noscript cookies browser peramban pemblokir tangan null nan none undefined sqlstate warning template".split()
 )
-CUE_SIGNS = re.compile(r"[{}\[\]<>%$@_#|…]|\.{6}|\( {4}")
+CUE_SIGNS = re.compile(r"[{}\[\]<>%$@_#|…]|\.{6}|\( {4}|^\s*[45]\d\d\s*[:—–-]", re.M)
+#: detectors are not bound to whole words, so cues count inside words; those that hold another cue are left out
+CUE_PARTS = sorted(w for w in CUE_WORDS if not any(v != w and v in w for v in CUE_WORDS))
 
 
 def cued(text: str, words) -> bool:
-    return not CUE_WORDS.isdisjoint(words) or CUE_SIGNS.search(text) is not None
+    if not CUE_WORDS.isdisjoint(words) or CUE_SIGNS.search(text) is not None:
+        return True
+    low = text.lower()
+    return any(c in low for c in CUE_PARTS)
 
 
 #: a sentence that tells about a placeholder
@@ -125,7 +130,7 @@ def detect(text: str) -> tuple[int, int, int, int]:
             if not told:
                 fillers += len(FILLER.findall(s))
                 notices += len(NOTICE.findall(s)) + len(SCRIPTS.findall(s))
-    only = len(words) >= 4 and len(set(words)) <= 2 or len(words) >= 10 and FUNCTION_WORDS.isdisjoint(words) and len(words) < 200
+    only = len(words) >= 4 and len(set(words)) <= 2 or len(words) >= 10 and FUNCTION_WORDS.isdisjoint(words)
     if only or repeated_run(words) or any(filler_run([w.lower() for w in WORD.findall(s)]) for s in STRETCH.split(clean) if len(s) > 60):
         fillers += 1
     return slots, forms, fillers, notices

@@ -169,3 +169,13 @@ def test_repeated_notices_of_hosts(spark):
 
 def test_long_text():
     assert sum(residue.detect(ARTICLE * 5000)) == 0 and sum(residue.detect(ARTICLE * 5000 + "{{judul}}")) == 1
+
+
+@pytest.mark.parametrize("text", ["Selesaikan reCAPTCHA untuk melanjutkan.", "Reloading...", "404 - laman hilang", "Warga pulang.\n503: mohon bersabar"])
+def test_notices_inside_words_and_status_lines(text):
+    assert residue.detect(text)[3] > 0
+
+
+def test_long_filler_without_function_words():
+    text = ". ".join(f"kata{chr(97 + i % 26)} isi{chr(97 + i // 26)} lain{chr(97 + i % 7)}" for i in range(80))
+    assert len(text.split()) >= 200 and residue.detect(text)[2] > 0
