@@ -191,7 +191,7 @@ def featurize(text: object) -> tuple[list[float], int]:
         n_words += len(words)
         marks = [lexical(t) for t in tokens]
         some = any(k in ("insult", "double") for k, _ in marks)
-        cue = not CUES.isdisjoint(words) or any(LONG.search(w) for w in words)
+        cue = not CUES.isdisjoint(words) or not CUES.isdisjoint(SLANG.get(w, w) for w in words) or any(LONG.search(w) for w in words)
         if not some and not cue:
             continue
         norm = " ".join(SLANG.get(w, w) for w in (LONG.sub(r"\1", t) for t in words))

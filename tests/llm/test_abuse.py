@@ -52,3 +52,8 @@ def test_one_label_only_and_empty(spark):
 
 def test_long_text(spark):
     assert abuse.featurize("kata " * 200_000 + "dasar goblok")[1] == 1
+
+
+@pytest.mark.parametrize("text", ["sini sama gw", "sama gua semalam", "lu cakep atau gimana"])
+def test_cues_in_every_spelling(text):
+    assert abuse.featurize(text)[1] == 1
