@@ -179,3 +179,30 @@ def test_notices_inside_words_and_status_lines(text):
 def test_long_filler_without_function_words():
     text = ". ".join(f"kata{chr(97 + i % 26)} isi{chr(97 + i // 26)} lain{chr(97 + i % 7)}" for i in range(80))
     assert len(text.split()) >= 200 and residue.detect(text)[2] > 0
+
+
+HELD_OUT = [  # notices of systems at large; none stands in the test tables
+    "Error establishing a database connection", "This site can't be reached", "The requested URL was not found on this server.", "Your session has expired. Please log in again.", "Sorry, the page you are looking for does not exist.", "503 Service Temporarily Unavailable",
+    "Halaman yang Anda cari tidak tersedia.", "Mohon tunggu, halaman sedang dimuat", "Situs sedang dalam perawatan, silakan kembali nanti.", "Enable cookies to continue", "Your browser is not supported. Please upgrade.", "Insert sample text here", "Koneksi ke server gagal",
+    "Berkas yang diminta telah dihapus", "Request timed out", "Too many requests, please wait", "Aktifkan JavaScript pada peramban Anda", "Laman tidak valid", "Checking your browser before accessing this site", "ReferenceError: total is not defined", "Access to this resource is forbidden",
+    "Uncaught TypeError in app.js line 12", "Maaf, konten sudah dipindah.", "Welcome to your new site. Edit or delete this post.", "Judul contoh untuk halaman baru", "Deskripsi singkat situs (maks. 160 karakter)", "This content is blocked. Allow cookies and reload.", "Gambar tidak dapat ditampilkan",
+    "Please verify that you are not a robot", "Layanan tidak merespons, coba lagi nanti",
+]
+
+
+def test_held_out_notices():
+    assert sum(residue.detect(t)[3] > 0 for t in HELD_OUT) >= 0.9 * len(HELD_OUT)
+
+
+@pytest.mark.parametrize("text", ["404 - Oops", "403 – tidak boleh", "Notice in /var/www/html/index.php on line 12", "Halo {{ " + "nama" * 12 + " }}", "kata " * 210 + "${judul " + "x" * 60 + "}"])
+def test_no_gate_and_no_size(text):
+    assert sum(residue.detect(text)) > 0
+
+
+def test_words_beside_seeds_are_learnt_and_hosts_raise(spark):
+    # "kabarnya lenyap" is in no list: it stands beside seeds in short responses of several hosts
+    rows = [(i, f"h{i % 5}", "Kabar desa", f"Error {500 + i % 4}: server sedang sibuk\nKabarnya lenyap begitu", 1, False, 1) for i in range(20)]
+    rows += [(100 + i, f"h{i % 5}", "Kabar desa", ARTICLE + f"Relawan ke-{i} pulang.", 1, False, 1) for i in range(200)] + [(900, "h1", "Kabar desa", "Kabarnya lenyap begitu", 1, False, 1)]
+    got = {r.doc_id: r for r in residue.score(spark.createDataFrame(rows, RESIDUE)).collect()}
+    assert got[900].flagged and got[900].seeds == 0 and got[900].odds_hosts > got[900].odds
+    assert not any(got[100 + i].flagged for i in range(200))
