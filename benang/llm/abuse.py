@@ -1,14 +1,21 @@
 """Abusive, hateful or sexual content: boosted trees over dense features, isotonically calibrated.
 
-Features per text: densities of the insult, threat, hate and sexual lexicons, of hits that are only quoted or
-objected to, and of harmless senses; nearness of the second person to an insult; shares of capitals and
-punctuation; rate of obfuscated words; length. Labels for fitting are weak ones: a text with an unquoted hit is
-positive. The trees are fitted on at most ``sample_rows`` rows taken by hash (``Parameters``), calibrated on as
-many others; every row is scored.
+Features per text: densities of the lexicons (insults, words with a harmless sense too, violence, sexual words,
+dehumanising and degrading words), of hits that are only quoted or objected to and of harmless senses; nearness of the
+second person to such words; shares of capitals and punctuation; rate of obfuscated words; length; and the greatest log
+odds of its parts (between commas and clause ends), and of runs of words in them.
+
+No table says what is abusive, so labels are weak: a clause is a seed where lexicon words meet in a telling way (an
+insult; violence and a person spoken to; a group and a dehumanising word; ...). Three disjoint parts of a bounded sample
+(``Parameters``), taken by hash, serve in turn: on the first the log odds of words and pairs of words are fitted to
+the seeds, on the second the trees are fitted, on the third they are calibrated. The odds see every word of a clause, the
+seeds only listed ones, so what is said like a seed scores like one although no list holds it, and a listed word in
+harmless company does not. Every row is scored.
 
 Defined results: null and blank texts score as texts without any hit; rows of one post are scored apart and a post
-counts with its greatest score; without both labels in the sample the score is the weak label itself; null ids are
-ignored in ``found``; empty tables give empty results. Whole texts are read; only the named columns are.
+counts with its greatest score; where a part of the sample lacks a label no trees can be fitted and the weak label is
+the score; null ids are ignored in ``found``; empty tables give empty results. Whole texts are
+read; only the named columns are.
 """
 
 from __future__ import annotations
@@ -27,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benang.functions.ids import filled_id
+from benang.llm import odds
 from benang.session import Scratch
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """sample_rows bounds the rows for fitting and for calibration, each."""
+    """word_rows bounds the rows the log odds are fitted on, sample_rows those for the trees and for the calibration, each."""
 
-    sample_rows: int = 20_000
-    trees: int = 12
+    word_rows: int = 100_000
+    sample_rows: int = 40_000
+    trees: int = 16
     depth: int = 4
     threshold: float = 0.5
 
@@ -56,39 +65,39 @@ SLANG = {
     "org": "orang", "smua": "semua", "smp": "sampai", "nyampe": "sampai", "udah": "sudah", "dah": "sudah", "sdh": "sudah", "dr": "dari", "trs": "terus", "br": "baru", "mkn": "makan", "maem": "makan", "ank": "anak",
     "tpi": "tapi", "tp": "tapi", "lu": "lo", "loe": "lo", "elu": "lo", "elo": "lo", "gua": "gue", "gw": "gue", "gwe": "gue", "klo": "kalau", "kl": "kalau", "kalo": "kalau", "dgn": "dengan", "dg": "dengan", "cm": "cuma", "cuman": "cuma", "kpl": "kepala", "msh": "masih", "jgn": "jangan", "dpr": "dapur", "tau": "tahu",
 }
-#: phrases per kind over normalised words; the first word group of each is what makes it looked for
-PHRASES = {
-    "insult": [
-        r"otak udang", r"otak di dengkul", r"otak kosong", r"iq se ?kolam\w*", r"mulut\w* bau bangkai", r"bau bangkai diam", r"lahir dari comberan", r"muka (?:lo|kamu|kau)? ?bikin eneg", r"bikin eneg", r"mukamu kayak", r"talenan bekas", r"muka tebal", r"isi kepala (?:lo|kalian|kamu|\w+) jerami",
-        r"(?:tidak|kagak|ndak) punya otak", r"keturunan maling", r"turunan \w+ mau ngatur", r"darah\w* penipu", r"ibumu nyesel", r"nyesel ngelahirin", r"cacat mending", r"bikin jijik yang lihat", r"karung beras malu", r"badan kayak karung", r"malu dong sama kaca", r"go cry somewhere", r"makan tuh piring",
-        r"jilat terus sampai kering", r"tukang jilat", r"shut up you", r"you are such a", r"what a worthless", r"kok dipelihara", r"punya akun", r"yang (?:bela|masak) lebih \w+$", r"lo [\w*]+ atau gimana", r"turunan [\w*]+ mau ngatur", r"semua nih pengurus\w*", r"kayak lo mending diam", r"mending diam", r"maneh mah", r"kowe \w+ tenan", r"gimana punya otak",
-        r"percuma sekolah tinggi", r"diam saja deh", r"cih \w+$",
-    ],
-    "threat": [
-        r"(?:gue|aku|gua|tak) bakar", r"bakar sekalian orang\w*", r"sekalian orang\w*$", r"tak bacok", r"bacok kowe", r"(?:gue|aku|tak) (?:injak|bunuh|hajar|gebuk|tusuk|habisi|cekik|tembak)", r"gigi lo rontok", r"rontok semua gue", r"kepala lo gue", r"siap siap bonyok", r"tunggu di depan rumah", r"(?:tahu|tau) rumah lo", r"tidur jangan nyenyak",
-        r"pulang tinggal nama", r"kirim preman", r"kelindas truk", r"lo mati saja", r"mending (?:lo|kamu|kau) mati", r"lompat saja dari jembatan", r"tidak ada yang nyari", r"minum racun", r"drink bleach", r"break your legs", r"kill your ?self", r"i will (?:kill|hurt|break)", r"perlu digantung", r"digantung di alun", r"tidak pantas hidup",
-        r"sini duel", r"semoga sekeluarga lo", r"bleach and be done", r"awas kalau lewat",
-    ],
-    "sexual": [
-        r"sini sama gue", r"sama gue semalam", r"impoten", r"temani om", r"di ranjang", r"bugil", r"nudes?", r"no clothes", r"cam girls?", r"telanjang vcs", r"bisa telanjang", r"vcs", r"open (?:order|bo) malam", r"sange", r"crot", r"ngamar", r"bokep", r"video mesum", r"mesum tante", r"remas dada", r"ditunggangi", r"buka dong baju\w*",
-        r"tanpa baju", r"teman tidur", r"pijat plus", r"plus plus sampai", r"sexy", r"mbak admin\w* montok", r"montok sini", r"bodi tante", r"janda muda", r"onlyfans", r"porn\w*", r"ngentot", r"pengen remas",
-    ],
-    "hate": [
-        r"(?:memang|itu|emang) (?:parasit|hama)\b", r"are vermin", r"pantas jadi budak", r"punah juga tidak", r"punah juga", r"tidak ada yang rugi", r"kotor dan malas", r"sama busuk\w*", r"haram ditolong", r"mereka bukan manusia", r"bukan manusia", r"jangan kasih makan (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak|warga)",
-        r"jangan sewakan rumah", r"ludahi saja", r"bersihkan \w+ dari (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)", r"kampung dari (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)", r"in our kitchens", r"send them all", r"dimasak tangan", r"jijik sama kaum\w*", r"usir semua", r"pulangin ke", r"breed like rats", r"otak\w* cuma buat dapur", r"pantesan rusuh", r"isinya (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak) [\w ]{1,30}semua", r"dari lahir (?:orang|suku|kaum|pendatang|jemaat|penganut|wong|anak)",
-    ],
+#: who speaks, and groups of people
+FIRST = frozenset("gue gua gw gwe aku ane tak i".split())
+GROUP = frozenset("kaum suku ras orang penganut jemaat pendatang perantau wong warga umat etnis agama bangsa those people they them mereka semua".split())
+#: doing harm and wishing it
+VIOLENCE = frozenset(
+    "bakar bacok bunuh hajar gebuk tusuk cekik tembak injak habisi gantung digantung bantai gorok tampar tonjok duel bonyok rontok preman racun mati mampus mampusin kelindas tabrak lompat bleach kill die hurt break hang stab shoot beat burn"
+    " modar pateni lindas hidup nyari nyenyak celaka legs jembatan alun".split()
+)
+SEXUAL = frozenset(
+    "bugil telanjang vcs sange sangek crot ngentot entot bokep mesum cabul porno porn nude nudes naked ranjang remas ditunggangi montok onlyfans cam cams girls sexy seksi hot horny coli ngocok memek kontol toket tetek payudara ngamar pijat plus-plus plus baju bajunya buka impoten"
+    " tidur semalam janda om tante sensor lonte jablay clothes sex seks boobs dick cock pussy suck ranjangmu goyang desah desahan dewasa".split()
+)
+DEHUMAN = frozenset(
+    "parasit hama kutu vermin cockroach cockroaches kecoa najis haram budak punah usir pulangin pulangkan bersihkan ludahi sewakan jijik kotor malas busuk busuknya penipu rusuh pantesan breed send manusia rugi pantas maling subhuman"
+    " animals darahnya kitchens isinya tangan dasarnya".split()
+)
+DEGRADE = frozenset(
+    "otak otaknya mulut mulutmu mulutnya muka mukamu bangkai comberan jerami dengkul eneg jijik iq kolam sekolam talenan karung kaca cacat jilat nyesel ngelahirin ibumu bapakmu turunan maling penipu becus dipelihara worthless disgusting pathetic"
+    " useless cry tebal cih najis enyah enyahlah sialan shut".split()
+)
+#: words that tell by themselves, the second beside a group of people
+EXPLICIT = frozenset("bugil ngentot entot bokep vcs sange sangek crot porn porno nude nudes onlyfans ngocok memek kontol pengentot".split())
+HARSH = frozenset("parasit vermin budak ludahi sewakan punah pulangin jijik najis haram subhuman penipu".split())
+#: expressions of two words, with the lexicon they count for
+EXPRESSIONS = {
+    **dict.fromkeys(["awas kalau", "minum racun", "drink bleach", "kirim preman", "tinggal nama", "sini duel", "lo mati", "mending mati", "kill yourself", "rumah lo", "bakar sekalian", "sekalian orangnya", "perlu digantung", "tunggu waktu", "tak bacok"], "violence"),
+    **dict.fromkeys(["tanpa baju", "teman tidur", "remas dada", "buka baju", "buka bajunya", "no clothes", "plus plus", "om di", "temani om", "sama gue", "sini sama", "janda muda", "bodi tante", "adegan ranjang"], "sexual"),
+    **dict.fromkeys(["bukan manusia", "bersihkan kampung", "jangan sewakan", "kasih makan", "dari lahir", "punah juga", "send them", "in our", "usir semua", "isinya orang"], "dehuman"),
+    **dict.fromkeys(["otak udang", "otak kosong", "punya otak", "otaknya cuma", "bau bangkai", "isi kepala", "punya akun", "keturunan maling", "bikin eneg", "muka tebal", "makan tuh", "lahir dari", "waste of", "tak berguna", "tidak berguna", "cry somewhere", "tukang jilat", "jilat terus"], "degrade"),
 }
+LEXICONS = {"insult": INSULTS, "double": DOUBLE, "violence": VIOLENCE, "sexual": SEXUAL, "dehuman": DEHUMAN, "degrade": DEGRADE}
 OBJECTS = re.compile(r"\b(?:dihina|dikatai|jangan bilang|jangan sebut|tidak boleh sebut|boleh sebut|stop ujaran|ujaran benci|melukai|laporkan|keberatan|admin hapus|tidak mendidik|lawan komentar|jangan menghina|mengaku diancam|kata kasar)\b")
-KINDS = list(PHRASES)
-_FULL = {k: re.compile(r"(?<!\w)(?:" + "|".join(v) + r")(?!\w)") for k, v in PHRASES.items()}
-_FIRST = re.compile(r"[a-z]{3,}")
-#: any text with a phrase has one of these words
-CUES = frozenset(
-    "udang dengkul otak otaknya iq bangkai comberan eneg mukamu talenan tebal jerami maling turunan darahnya penipu ibumu nyesel ngelahirin cacat jijik karung kaca cry tuh jilat shut such worthless dipelihara akun pengurusnya nih mending maneh tenan percuma deh cih bakar bacok sekalian orangnya injak bunuh hajar gebuk tusuk habisi cekik tembak rontok bonyok"
-    " tunggu rumah nyenyak nama preman kelindas jembatan nyari racun bleach legs kill hurt break digantung pantas duel sekeluarga awas gue impoten om ranjang bugil nude nudes clothes cam vcs telanjang open sange crot ngamar bokep mesum remas ditunggangi baju bajunya tidur plus sexy montok tante janda onlyfans porn porno ngentot"
-    " parasit hama vermin budak punah rugi malas busuk busuknya haram manusia sewakan ludahi bersihkan kitchens send tangan kaumnya usir pulangin breed cuma pantesan isinya lahir kasih lo mati bela masak".split()
-)
-TOKEN = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+|\*+)*|[\"“”]")
+TOKEN = re.compile(r"[^\W_]+(?:[*@$!]+[^\W_]+|\*+)*|[\"“”,]")
 SPLIT_LETTERS = re.compile(r"(?<![\w.])(?:\w[ .\-_*]){2,}\w(?!\w)")
 WIDE = {0xFF01 + i: 0x21 + i for i in range(94)}
 LEET = str.maketrans("4310578@$!", "aeiostbasi")
@@ -116,7 +125,10 @@ _MASKED = {len(w): [x for x in INSULTS | DOUBLE if len(x) == len(w)] for w in IN
 
 @lru_cache(maxsize=200_000)
 def lexical(token: str) -> tuple[str, bool]:
-    """('insult' | 'double' | 'second' | '', whether it was obfuscated) of a lower-case token."""
+    """('insult' | 'double' | 'second' | '', whether it was obfuscated) of a lower-case token; a star after a whole word
+    marks one that was written letter by letter."""
+    if token[-1] == "*" and (lexical(token[:-1])[0] in ("insult", "double")) and "*" not in token[:-1]:
+        return "insult", True
     if token in INSULTS:
         return "insult", False
     if token in DOUBLE:
@@ -157,80 +169,217 @@ def lexical(token: str) -> tuple[str, bool]:
                 return "insult", True
     return "", False
 
+QUOTES = frozenset('"“”')
+SIGN = re.compile(r"[^\w\s]|_")
+CAPITAL = re.compile(r"[A-Z]")
+LETTER = re.compile(r"[^\W\d_]")
+NAMES = list(LEXICONS)
+EXPRESSION_FIRST = frozenset(e.split()[0] for e in EXPRESSIONS)
+#: every alternative of OBJECTS begins with one of these words
+OBJECT_FIRST = frozenset(x.split()[0] for x in OBJECTS.pattern.removeprefix(r"\b(?:").removesuffix(r")\b").split("|"))
+
+
+def _general() -> dict[str, tuple[str, ...]]:
+    out: dict[str, tuple[str, ...]] = {}
+    for name in ("violence", "sexual", "dehuman", "degrade"):
+        for w in LEXICONS[name]:
+            out[w] = (*out.get(w, ()), name)
+    return out
+
 
-FEATURES = ["insult", "threat", "sexual", "hate", "quoted", "harmless", "near_second", "capitals", "punctuation", "obfuscated", "words", "double"]
+GENERAL = _general()
+#: spellings with one letter left out, of the longer lexicon words
+_GENERAL_NEAR = {w[:i] + w[i + 1:]: w for w in sorted(GENERAL) if len(w) >= 6 for i in range(len(w))}
 
 
-def featurize(text: object) -> tuple[list[float], int]:
-    """Features in the order of FEATURES and the weak label."""
-    if not isinstance(text, str) or not text.strip():
-        return [0.0] * len(FEATURES), 0
-    plain = text.translate(WIDE) if not text.isascii() else text
-    low = plain.lower()
-    hits = dict.fromkeys(KINDS, 0)
-    quoted = harmless = obfuscated = double = 0
-    near = 0.0
-    joined: list[str] = []
-    for m in SPLIT_LETTERS.finditer(low):
-        word = re.sub(r"[^a-z0-9]", "", m.group())
-        for start in range(0, min(3, len(word))):
-            if lexical(word[start:])[0] in ("insult", "double") and len(word) - start >= 3:
-                joined.append(word[start:])
-                if '"' in low[max(0, m.start() - 2):m.start() + 1]:
-                    quoted += 1
-                else:
-                    hits["insult"] += 1
-                    obfuscated += 1
-                break
-    n_words = 0
-    for clause in CLAUSE.split(low):
-        tokens = TOKEN.findall(clause)
-        if not tokens:
+@lru_cache(maxsize=200_000)
+def normal(token: str) -> str:
+    """A token as it is looked up: repeated letters and slang undone, a slip in a longer lexicon word put right."""
+    w = LONG.sub(r"\1", token)
+    w = SLANG.get(w, w)
+    if w not in GENERAL and len(w) >= 5 and w.isalpha():
+        near = _GENERAL_NEAR.get(w)
+        if near is None and len(w) >= 6:
+            near = next((x for x in (_GENERAL_NEAR.get(w[:i] + w[i + 1:]) for i in range(len(w))) if x is not None and len(x) == len(w) and sorted(x) == sorted(w)), None)
+        if near is not None and near[0] == w[0]:
+            return near
+    return w
+
+
+FEATURES = ["insult", "double", "violence", "sexual", "dehuman", "degrade", "quoted", "harmless", "near_second", "capitals", "punctuation", "obfuscated", "words", "odds", "peak"]
+#: log odds of a part of a clause are kept within this; a text without clauses has the lower end
+SPAN = 20.0
+
+
+@dataclass
+class Clause:
+    """The terms of a clause's parts (between commas), which parts have hits, and what the lexicons say of it."""
+
+    parts: list[list[str]]
+    telling: list[bool]
+    hits: list[int]
+    seed: bool
+    quoted: int
+    harmless: int
+    obfuscated: int
+    near: float
+    words: int
+
+
+@lru_cache(maxsize=200_000)
+def known(token: str) -> tuple[str, str, bool, tuple[int, ...], bool, bool, bool]:
+    """All the lexicons say of a token: how it is looked up, what it is, whether it was hidden, the lexicons it counts
+    for, and whether it is a first person, a group, the first word of an expression."""
+    w = normal(token)
+    kind, hidden = lexical(token)
+    return w, kind, hidden, tuple(NAMES.index(n) for n in GENERAL.get(w, ())), w in FIRST, w in GROUP, w in EXPRESSION_FIRST
+
+
+def reads(clause: str) -> Clause | None:
+    tokens, breaks = [], [0]
+    quotes = 0
+    for t in TOKEN.findall(clause):
+        if t == ",":
+            if len(tokens) > breaks[-1]:
+                breaks.append(len(tokens))
             continue
-        words = [t for t in tokens if t not in '"“”']
-        n_words += len(words)
-        marks = [lexical(t) for t in tokens]
-        some = any(k in ("insult", "double") for k, _ in marks)
-        cue = not CUES.isdisjoint(words) or not CUES.isdisjoint(SLANG.get(w, w) for w in words) or any(LONG.search(w) for w in words)
-        if not some and not cue:
+        quotes += t in QUOTES
+        tokens.append(t)
+    if len(tokens) == quotes:
+        return None
+    read = [known(t) for t in tokens]
+    flat = [r[0] for r in read]
+    hits = [0] * len(NAMES)
+    quoted = harmless = obfuscated = strong = 0
+    objects = [] if OBJECT_FIRST.isdisjoint(flat) else [m.start() for m in OBJECTS.finditer(" ".join(flat))]
+    marks = [i for i, t in enumerate(tokens) if t in QUOTES] if quotes else []
+
+    def told(i: int, reach: int) -> bool:
+        """Whether the word stands in quotes or near an objection."""
+        if marks and any(i - reach <= m < i for m in marks) and any(i < m <= i + reach for m in marks):
+            return True
+        at = len(" ".join(flat[:i])) if objects else 0
+        return any(at - 45 <= o <= at + 40 for o in objects)
+
+    terms: list[str] = []
+    second, harm = [], []
+    first = group = explicit = harsh = opened = False
+    for i, (w, kind, hidden, names, is_first, is_group, opens) in enumerate(read):
+        pair = EXPRESSIONS.get(f"{flat[i - 1]} {w}") if opened else None
+        opened = opens
+        if not kind and not names and not pair:
+            if is_group or (w == "cucu" and i and flat[i - 1] == "anak"):
+                group = True
+            elif is_first:
+                first = True
+            elif i and read[i - 1][5] and w.isalpha():
+                w = "<of>"  # the name of a group tells nothing of what is said of it
+            elif w in QUOTES:
+                w = '"'
+            elif w.isdigit():
+                w = "0"
+            terms.append(w)
             continue
-        norm = " ".join(SLANG.get(w, w) for w in (LONG.sub(r"\1", t) for t in words))
-        objects = [m.start() for m in OBJECTS.finditer(norm)]
-        if some:
-            second = [i for i, (k, _) in enumerate(marks) if k == "second"]
-            flat = [SLANG.get(t, t) for t in tokens]
-            for i, (kind, hidden) in enumerate(marks):
-                if kind not in ("insult", "double"):
+        if kind == "insult" or kind == "double":
+            if told(i, 2):
+                quoted += 1
+                terms.append("<quoted>")
+                continue
+            harm.append(i)
+            if kind == "double" and not hidden:
+                hits[1] += 1
+                if not (HARMLESS.isdisjoint(flat[max(0, i - 3):i] + flat[i + 1:i + 4]) and framed(flat, i)):
+                    harmless += 1
+                    terms.append(w)
                     continue
-                around = flat[max(0, i - 3):i] + flat[i + 1:i + 4]
-                in_quotes = any(t in '"“”' for t in tokens[max(0, i - 2):i]) and any(t in '"“”' for t in tokens[i + 1:i + 3])
-                at = len(" ".join(flat[:i]))
-                if in_quotes or any(at - 45 <= o <= at + 40 for o in objects):
-                    quoted += 1
-                elif kind == "double" and not hidden:
-                    double += 1
-                    if HARMLESS.isdisjoint(around) and framed(flat, i):
-                        hits["insult"] += 1
-                    else:
-                        harmless += 1
-                else:
-                    hits["insult"] += 1
-                    obfuscated += hidden
-                if second:
-                    near = max(near, 1.0 / (1 + min(abs(i - j) for j in second)))
-        for kind, pattern in _FULL.items():
-            for m in pattern.finditer(norm):
-                if any(t in '"“”' for t in tokens) and any(m.start() - 30 <= o <= m.end() + 30 for o in objects):
-                    quoted += 1
-                else:
-                    hits[kind] += 1
-    letters = sum(c.isalpha() for c in plain) or 1
-    per = 1.0 / max(1, n_words)
-    label = int(any(hits.values()))
-    return [
-        hits["insult"] * per, hits["threat"] * per, hits["sexual"] * per, hits["hate"] * per, quoted * per, harmless * per, near,
-        sum(c.isupper() for c in plain) / letters, sum(not c.isalnum() and not c.isspace() for c in plain) / len(plain), obfuscated * per, float(n_words), double * per,
-    ], label
+            hits[0] += 1
+            strong += 1
+            obfuscated += hidden
+            terms.append("<insult>")
+            continue
+        group, first = group or is_group, first or is_first
+        if kind == "second":
+            second.append(i)
+        if pair or names:
+            if told(i, 3):
+                quoted += 1
+                terms.append("<quoted>")
+                continue
+            explicit, harsh = explicit or w in EXPLICIT, harsh or w in HARSH
+            harm.append(i)
+            for n in names:
+                hits[n] += 1
+            if pair:
+                hits[NAMES.index(pair)] += 1
+        terms.append("<you>" if kind == "second" else w)
+    near = max((1.0 / (1 + min(abs(i - j) for j in second)) for i in harm), default=0.0) if second else 0.0
+    person = bool(second) or first
+    _, _, violence, sexual, dehuman, degrade = hits
+    seed = strong > 0 or bool(harm) and not objects and (
+        explicit or violence >= 2 or violence and person or sexual >= 2 or dehuman and group and (harsh or dehuman >= 2) or harsh and dehuman >= 2 or degrade >= 2 or degrade and bool(second)
+    )
+    ends = [*breaks[1:], len(terms)]
+    parts = [[*terms[a:b], *[f"{x} {y}" for x, y in zip(terms[a:b], terms[a + 1:b])], *["=objection"] * bool(objects)] for a, b in zip(breaks, ends) if a < b]
+    telling = [any(a <= i < b for i in harm) for a, b in zip(breaks, ends) if a < b] if harm else [False] * len(parts)
+    return Clause(parts, telling, hits, bool(seed), quoted + len(objects), harmless, obfuscated, near, len(tokens) - quotes)
+
+
+def joined(m: re.Match) -> str:
+    """A word written letter by letter, put together where it is a lexicon word; what stands before it stays."""
+    word = re.sub(r"[^a-z0-9]", "", m.group())
+    for start in range(0, min(3, len(word))):
+        if len(word) - start >= 3 and lexical(word[start:])[0] in ("insult", "double"):
+            return f"{word[:start]} {word[start:]}*" if start else f"{word}*"
+    return m.group()
+
+
+def clauses(text: str) -> list[Clause]:
+    low = (text.translate(WIDE) if not text.isascii() else text).lower()
+    return [c for c in map(reads, CLAUSE.split(SPLIT_LETTERS.sub(joined, low))) if c is not None]
+
+
+def weigh(model: odds.Odds, terms: list[str]) -> tuple[float, float]:
+    """Log odds of a part, and the greatest of a run of its words: harmless words around do not weigh that down."""
+    objected = terms[-1] == "=objection"
+    n = (len(terms) - objected + 1) // 2
+    get = model.weights.get
+    all_ = best = run = 0.0
+    for i in range(n):
+        w = get(terms[i], 0.0)
+        if i:
+            pair = get(terms[n + i - 1], 0.0)
+            all_ += w + pair
+            run += w + pair
+            if run < w:
+                run = w
+        else:
+            all_ = run = w
+        if run > best:
+            best = run
+    base = model.prior + (get(terms[-1], 0.0) if objected else 0.0)
+    return max(-SPAN, min(SPAN, base + all_)), max(-SPAN, min(SPAN, base + best))
+
+
+def featurize(text: object, model: odds.Odds | None = None) -> tuple[list[float], int]:
+    """Features in the order of FEATURES and the weak label."""
+    if not isinstance(text, str) or not text.strip():
+        return [0.0] * (len(FEATURES) - 2) + [-SPAN, -SPAN], 0
+    hits = [0] * len(NAMES)
+    quoted = harmless = obfuscated = words = seed = 0
+    near, mark, top = 0.0, -SPAN, -SPAN
+    for c in clauses(text):
+        words += c.words
+        quoted, harmless, obfuscated, seed = quoted + c.quoted, harmless + c.harmless, obfuscated + c.obfuscated, seed or c.seed
+        if any(c.hits):
+            hits = [a + b for a, b in zip(hits, c.hits)]
+            near = max(near, c.near)
+        if model:
+            for terms in c.parts:
+                a, b = weigh(model, terms)
+                mark, top = max(mark, a), max(top, b)
+    per = 1.0 / max(1, words)
+    letters = len(LETTER.findall(text)) or 1
+    return [*[h * per for h in hits], quoted * per, harmless * per, near, len(CAPITAL.findall(text)) / letters, len(SIGN.findall(text)) / len(text), obfuscated * per, float(words), mark, top], int(seed)
 
 
 FRAMES = frozenset("dasar lo kowe emang memang kok semua yang lebih turunan admin mah mulut jadi you such worthless what eh cih tebal piring kering kampret kayak".split())
@@ -238,39 +387,69 @@ FRAMES = frozenset("dasar lo kowe emang memang kok semua yang lebih turunan admi
 
 def framed(tokens: list[str], i: int) -> bool:
     """Whether a word with a harmless sense stands where insults stand."""
-    if len([t for t in tokens if t not in '"“”']) <= 2:
+    if len([t for t in tokens if t not in QUOTES]) <= 2:
         return True
     return not FRAMES.isdisjoint(tokens[max(0, i - 2):i] + tokens[i + 1:i + 2]) or any(lexical(t)[0] == "insult" for t in tokens[max(0, i - 1):i] + tokens[i + 1:i + 2])
 
 
 SCHEMA = "tweet_id string, source string, h long, label double, " + ", ".join(f"{f} double" for f in FEATURES)
+PART = 1_000_000
+
+
+def rows_of(threads: DataFrame) -> DataFrame:
+    text = F.col("teks_komentar")
+    return threads.select(filled_id(F.col("tweet_id")).alias("tweet_id"), F.coalesce(F.trim("sumber_akuisisi"), F.lit("")).alias("source"), F.pmod(F.xxhash64("tweet_id", text), F.lit(PART)).alias("h"), text.alias("text"))
+
 
+def fit_odds(rows: DataFrame) -> odds.Odds:
+    """Log odds of words and pairs of words between seeds and other clauses."""
+    def labelled(b: pd.DataFrame):
+        for text in b["text"]:
+            if isinstance(text, str) and text.strip():
+                for c in clauses(text):
+                    for terms, tells in zip(c.parts, c.telling):
+                        yield terms, float(c.seed and tells)
+
+    return odds.fit(rows, labelled)
+
+
+def features(rows: DataFrame, model: odds.Odds) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
-def features(threads: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
-            made = [featurize(t) for t in b["text"]]
+            made = [featurize(t, known) for t in b["text"]]
             out = pd.DataFrame([m[0] for m in made], columns=FEATURES)
             out.insert(0, "label", [float(m[1]) for m in made])
-            out.insert(0, "h", b["h"].to_numpy())
-            out.insert(0, "source", b["source"].to_numpy())
-            out.insert(0, "tweet_id", b["tweet_id"].to_numpy())
+            for c in ("h", "source", "tweet_id"):
+                out.insert(0, c, b[c].to_numpy())
             yield out
 
-    text = F.col("teks_komentar")
-    return threads.select(filled_id(F.col("tweet_id")).alias("tweet_id"), F.coalesce(F.trim("sumber_akuisisi"), F.lit("")).alias("source"), F.xxhash64("tweet_id", text).alias("h"), text.alias("text")).mapInPandas(run, SCHEMA)
+    return rows.mapInPandas(run, SCHEMA)
+
+
+def cuts(total: int, p: Parameters) -> tuple[int, int, int]:
+    """Thresholds on the hash that give the parts for odds, trees and calibration their bounded sizes; small tables are
+    shared out whole in the same proportions."""
+    wanted = (p.word_rows, p.sample_rows, p.sample_rows)
+    scale = PART / max(total, sum(wanted))
+    ends = [int(sum(wanted[:i + 1]) * scale) for i in range(3)]
+    return ends[0], ends[1], ends[2]
 
 
 def scored(threads: DataFrame, parameters: Parameters = Parameters()) -> DataFrame:
     """tweet_id, source, score in [0, 1] per row."""
     scratch = Scratch(threads.sparkSession)
-    table = scratch.save(features(threads))
-    taken = scratch.save(table.orderBy("h", "tweet_id").limit(2 * parameters.sample_rows).withColumn("part", F.pmod(F.shiftright("h", 8), F.lit(2))))
-    kinds = {(r["part"], r["label"]) for r in taken.select("part", "label").distinct().collect()}
-    if len(kinds) < 4:
+    rows = rows_of(threads)
+    a, b, c = cuts(threads.count(), parameters)
+    table = scratch.save(features(rows, fit_odds(rows.where(F.col("h") < a))))
+    fit, calibrate = table.where((F.col("h") >= a) & (F.col("h") < b)), table.where((F.col("h") >= b) & (F.col("h") < c))
+    kinds = fit.unionByName(calibrate).groupBy((F.col("h") < b).alias("part"), "label").count().count()
+    if kinds < 4:
         return table.select("tweet_id", "source", F.col("label").alias("score"))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    fit, calibrate = (vector.transform(taken.where(F.col("part") == i)) for i in (0, 1))
+    fit, calibrate = scratch.save(vector.transform(fit).select("features", "label")), vector.transform(calibrate)
     trees = GBTClassifier(maxIter=parameters.trees, maxDepth=parameters.depth, seed=7, labelCol="label", featuresCol="features").fit(fit)
     raw = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1])
     curve = IsotonicRegression(labelCol="label", featuresCol="p", predictionCol="score").fit(raw(calibrate))

@@ -54,6 +54,24 @@ def test_long_text(spark):
     assert abuse.featurize("kata " * 200_000 + "dasar goblok")[1] == 1
 
 
-@pytest.mark.parametrize("text", ["sini sama gw", "sama gua semalam", "lu cakep atau gimana"])
-def test_cues_in_every_spelling(text):
+@pytest.mark.parametrize("text", ["sini sama gw", "sama gua semalam", "sini sm gw semalam", "you are a disgusting pathetic waste of space", "dasar manusia tak berguna, enyahlah dari sini"])
+def test_expressions_in_every_spelling(text):
     assert abuse.featurize(text)[1] == 1
+
+
+def test_odds_see_what_no_list_holds(spark):
+    # a clause with an unlisted word is said like clauses with listed ones; a listed word in harmless company is not
+    df = frame(spark, [(f"b{i}", "A", f"{w} semua nih pengurusnya {i}") for i in range(100) for w in ("goblok", "tolol", "bego")] + [(f"f{i}", "A", f"{FINE[i % len(FINE)]} {i}") for i in range(3000)])
+    model = abuse.fit_odds(abuse.rows_of(df))
+    row = lambda text: dict(zip(abuse.FEATURES, abuse.featurize(text, model)[0]))
+    assert abuse.featurize("zurbax semua nih pengurusnya")[1] == 0 and row("zurbax semua nih pengurusnya")["peak"] > 0 > row("sampah bekas kotak menumpuk di SD")["peak"]
+
+
+def test_parts_are_bounded_and_disjoint():
+    a, b, c = abuse.cuts(10**9, abuse.Parameters())
+    assert (a, b - a, c - b) == (100, 40, 40) and abuse.cuts(10, abuse.Parameters())[2] == 1_000_000
+
+
+def test_peak_is_not_weighed_down():
+    model = abuse.odds.Odds(-3.0, {"bad": 6.0, "fine": -1.0})
+    assert abuse.weigh(model, ["fine"] * 8 + ["bad"] + ["x y"] * 8) == (-5.0, 3.0)
