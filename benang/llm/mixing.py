@@ -1,8 +1,11 @@
 """Mixing sources to target weights: temperature mixing with a repetition limit.
 
-Source token shares are raised to an exponent and normalised; bisection finds the exponent whose weights reach the
-target entropy, or the flattest ones that keep every source within its repetition limit. The weights become whole
-passes over permuted documents plus a last partial pass cut at the token budget.
+The token share of a source is raised to an exponent (the inverse of its temperature: 1 as it is, below 1 flatter, above
+1 sharper). Bisection finds the least exponent at which the weight neither exceeds the share the target asks for, so that
+the source carries its part of the target entropy, nor the share its tokens reach in ``max_repeats`` passes. What the
+bisected weights are is what is realised: they are multiplied by the token budget and cut out of whole passes over
+permuted blocks of documents, with a partial pass last; normalised, they are the shares of the mix. A source whose
+realised weight stays below its target falls short.
 
 Defined results: a null or empty text has 0 tokens; a null source is the source ''; a target source without
 documents has 0 tokens and falls short when its share is above 0; null shares count as 0, a null max_repeats as 1;
@@ -40,16 +43,19 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
-#: a text without white space for this long would make the byte-pair merge quadratic
+#: a run without white space this long would make the byte-pair merge quadratic; it alone is cut
 LONG_WORD = re.compile(r"\S{2000,}")
 
 
 def count_tokens(text: str, path: str) -> int:
-    """Tokens of the whole text; endless unbroken runs are encoded in pieces of 2000 characters."""
+    """Tokens of the whole text; endless unbroken runs are encoded in pieces of 2000 characters, the rest as it is."""
     enc = encoder(path)
-    if not LONG_WORD.search(text):
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[i:i + 2000])) for i in range(0, len(text), 2000))
+    n = at = 0
+    for m in LONG_WORD.finditer(text):
+        n += len(enc.encode_ordinary(text[at:m.start()]))
+        n += sum(len(enc.encode_ordinary(text[i:min(i + 2000, m.end())])) for i in range(m.start(), m.end(), 2000))
+        at = m.end()
+    return n + len(enc.encode_ordinary(text[at:]))
 
 
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -66,71 +72,55 @@ def source_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return token_counts(docs, path).groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
 
 
-def tempered(sizes: list[float], exponent: float) -> list[float]:
-    total = sum(sizes)
-    powered = [(s / total) ** exponent if s > 0 else 0.0 for s in sizes] if total > 0 else [0.0] * len(sizes)
-    norm = sum(powered)
-    return [p / norm for p in powered] if norm > 0 else powered
-
-
 def entropy(weights: list[float]) -> float:
     return -sum(w * math.log(w) for w in weights if w > 0)
 
 
-def exponent_for(sizes: list[float], target: list[float], repeats: list[int], budget: float, rounds: int = 60, most: float = 8.0) -> float:
-    """Exponent in [0, most] (1: as the sources are, 0: equal shares). The greatest one whose weights keep the
-    entropy of the target, or a greater one where sources would otherwise need more passes than allowed."""
-    goal = entropy(target)
-    fits = lambda e: all(w * budget <= r * s + 1e-9 for w, r, s in zip(tempered(sizes, e), repeats, sizes) if s > 0)
+def exponent_for(share: float, target: float, limit: float, rounds: int = 200) -> float:
+    """The least exponent that brings ``share`` (below 1) to ``target`` or ``limit``, whichever is reached last;
+    infinite where nothing may be taken."""
+    if share <= 0 or target <= 0 or limit <= 0:
+        return math.inf
+    fits = lambda e: share**e <= target and share**e <= limit
+    low, high = 0.0, 1.0
+    while not fits(high):
+        low, high = high, 2 * high
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        low, high = (low, mid) if fits(mid) else (mid, high)
+    return high
 
-    def bisect(low: float, high: float, keep_low) -> tuple[float, float]:
-        for _ in range(rounds):
-            mid = (low + high) / 2
-            low, high = (mid, high) if keep_low(mid) else (low, mid)
-        return low, high
 
-    flat = bisect(0.0, most, lambda e: entropy(tempered(sizes, e)) >= goal)[0]
-    if fits(flat) or not fits(1.0):
-        return flat
-    return bisect(min(flat, 1.0), 1.0, lambda e: not fits(e))[1]
+def tempered(share: float, exponent: float) -> float:
+    return share**exponent if share > 0 and exponent < math.inf else 0.0
 
 
-def mix_plan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Weights, passes and actual shares of one mix (one row per source)."""
+def mix_plan(pdf: pd.DataFrame, temper=exponent_for) -> pd.DataFrame:
+    """Exponents, weights, passes and shares of one mix (one row per source). ``temper`` finds an exponent."""
     pdf = pdf.sort_values("source", kind="stable").reset_index(drop=True)
     budget = float(pdf["all_tokens"].iloc[0]) if len(pdf) else 0.0
-    sizes = [float(t) for t in pdf["tokens"]]
-    target = [float(t) for t in pdf["target_share"]]
-    repeats = [int(r) for r in pdf["max_repeats"]]
-    exponent = exponent_for(sizes, target, repeats, budget)
-    heat = tempered(sizes, exponent)
-    can = [r * s for r, s in zip(repeats, sizes)]
-    want = [t * budget for t in target]
-    # targets first; what sources cannot give goes to the others by their temperature weight
-    given = [min(w, c) for w, c in zip(want, can)]
-    for _ in range(len(sizes)):
-        lack = sum(want) - sum(given)
-        free = [i for i in range(len(sizes)) if can[i] - given[i] > 1e-9]
-        norm = sum(heat[i] for i in free)
-        if lack <= 1e-6 or norm <= 0:
-            break
-        for i in free:
-            given[i] = min(can[i], given[i] + lack * heat[i] / norm)
-    total = sum(given)
+    tokens, target, repeats = ([float(x) for x in pdf[c]] for c in ("tokens", "target_share", "max_repeats"))
+    # one token more in all keeps the share of a lone source below 1
+    shares = [t / (budget + 1) for t in tokens]
+    limit = [r * t / budget if budget else 0.0 for r, t in zip(repeats, tokens)]
+    exponents = [temper(s, t, c) for s, t, c in zip(shares, target, limit)]
+    weights = [tempered(s, e) for s, e in zip(shares, exponents)]
+    total = sum(weights)
     out = pdf[["mix_name", "source", "target_share", "max_repeats", "tokens"]].copy()
-    out["weight"] = heat
-    out["budget_tokens"] = [int(round(g)) for g in given]
-    out["passes"] = [g / s if s > 0 else 0.0 for g, s in zip(given, sizes)]
-    out["actual_share"] = [g / total if total > 0 else 0.0 for g in given]
-    out["short"] = [c < w for c, w in zip(can, want)]
+    out["exponent"] = [e if e < math.inf else None for e in exponents]
+    out["weight"] = [w / total if total > 0 else 0.0 for w in weights]
+    out["budget_tokens"] = [int(min(round(w * budget), r * t)) for w, r, t in zip(weights, repeats, tokens)]
+    out["passes"] = [w * budget / t if t > 0 else 0.0 for w, t in zip(weights, tokens)]
+    # short where the realised weight is below the target; within rounding the exact products decide
+    out["short"] = [t > 0 and budget > 0 and (w < t * (1 - 1e-9) or abs(w - t) <= 1e-9 * t and r * n < t * budget) for w, t, r, n in zip(weights, target, repeats, tokens)]
     return out
 
 
-PLAN = "mix_name string, source string, target_share double, max_repeats int, tokens long, weight double, budget_tokens long, passes double, actual_share double, short boolean"
+PLAN = "mix_name string, source string, target_share double, max_repeats int, tokens long, exponent double, weight double, budget_tokens long, passes double, short boolean"
 
 
 def plan(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, sizes: DataFrame | None = None) -> DataFrame:
-    """Per mix and source: weights, passes, actual share, and whether the source falls short."""
+    """Per mix and source: exponent, normalised weight, token budget, passes, and whether the source falls short."""
     sizes = Scratch(docs.sparkSession).save(sizes if sizes is not None else source_tokens(docs, path))
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     t = targets.select("mix_name", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("int").alias("max_repeats")).dropDuplicates(["mix_name", "source"])
@@ -142,18 +132,39 @@ def found(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFra
     return plan(docs, targets, path).where("short").select("mix_name", "source")
 
 
+def prepared(docs: DataFrame, targets: DataFrame, path: str, block_rows: int = 100_000) -> tuple[DataFrame, DataFrame, int]:
+    """Token counts, plans, and the number of hash digits that gives blocks of about ``block_rows`` documents."""
+    scratch = Scratch(docs.sparkSession)
+    counts = scratch.save(token_counts(docs, path))
+    sizes = scratch.save(counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    return counts, scratch.save(plan(docs, targets, path, sizes=sizes.select("source", "tokens"))), 1 + math.ceil(math.log(max(1.0, most / block_rows), 16))
+
+
 def realise(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: str = "benang") -> DataFrame:
     """The mix itself: one row per mix, document and pass. Documents of a source are permuted by hash; running token
     sums are taken per block of the permutation and added up over blocks, so no source is ordered in one task."""
-    counts = Scratch(docs.sparkSession).save(token_counts(docs, path))
-    plans = plan(docs, targets, path, sizes=counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))).where("budget_tokens > 0")
+    counts, plans, digits = prepared(docs, targets, path)
+    return placed(counts, plans, targets, seed, digits)
+
+
+def placed(counts: DataFrame, plans: DataFrame, targets: DataFrame, seed: str, digits: int) -> DataFrame:
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
-    blocks = counts.where("n_tokens > 0").withColumn("h", h).withColumn("block", F.substring("h", 1, 3))
+    blocks = counts.where("n_tokens > 0").withColumn("h", h).withColumn("block", F.substring("h", 1, digits))
     inside = blocks.withColumn("in_block", F.sum("n_tokens").over(W.partitionBy("source", "block").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)))
     sums = blocks.groupBy("source", "block").agg(F.sum("n_tokens").alias("n"))
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = inside.join(before, ["source", "block"]).withColumn("start", F.col("before") + F.col("in_block") - F.col("n_tokens"))
-    mixed = placed.join(broadcast_if_small(plans.select("mix_name", "source", "tokens", "budget_tokens"), targets), "source")
+    at = inside.join(before, ["source", "block"]).withColumn("start", F.col("before") + F.col("in_block") - F.col("n_tokens"))
+    mixed = at.join(broadcast_if_small(plans.where("budget_tokens > 0").select("mix_name", "source", "tokens", "budget_tokens"), targets), "source")
     # a pass takes a document while the tokens of earlier passes and documents stay below the budget
     passes = F.ceil((F.col("budget_tokens") - F.col("start")) / F.col("tokens"))
     return mixed.where("start < budget_tokens").select("mix_name", "source", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), passes.cast("int"))).alias("pass"))
+
+
+def shares(docs: DataFrame, targets: DataFrame, path: str = TOKENIZER, seed: str = "benang") -> DataFrame:
+    """The plan with what the mix as realised holds: tokens, rows and share per mix and source."""
+    counts, plans, digits = prepared(docs, targets, path)
+    made = placed(counts, plans, targets, seed, digits).groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_rows"))
+    out = plans.join(made, ["mix_name", "source"], "left").na.fill(0, ["mixed_tokens", "mixed_rows"])
+    whole = F.sum("mixed_tokens").over(W.partitionBy("mix_name"))  # a few rows: the sources of a mix
+    return out.withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), whole), F.lit(0.0)))

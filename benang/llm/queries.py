@@ -26,7 +26,7 @@ def queries() -> dict:
         "p8_spans": lambda s, d: leaks.spans(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_report": lambda s, d: leaks.report(t(s, d, "documents"), t(s, d, "eval_items")),
         "p9_found": lambda s, d: mixing.found(t(s, d, "documents"), t(s, d, "mix_targets")),
-        "p9_shares": lambda s, d: mixing.plan(t(s, d, "documents"), t(s, d, "mix_targets")),
+        "p9_shares": lambda s, d: mixing.shares(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p9_mixture": lambda s, d: mixing.realise(t(s, d, "documents"), t(s, d, "mix_targets")),
         "p10_found": lambda s, d: residue.found(t(s, d, "documents")),
         "p10_rates": lambda s, d: residue.rates(t(s, d, "documents")),
@@ -42,11 +42,23 @@ filled AS (SELECT * FROM rows WHERE post IS NOT NULL AND root IS NOT NULL)"""
 P5_AVAILABLE = f"""
 WITH {ROOTS.strip()},
 c AS (SELECT DISTINCT {ID.format('tweet_id')} AS post, lower(regexp_replace(sampling_stratum, '[^\\p{{L}}]', '', 'g')) AS stratum FROM coordinator_sampling),
-c2 AS (SELECT c.post, c.stratum, coalesce(min(f.root), c.post) AS root FROM c LEFT JOIN filled f ON f.post = c.post WHERE c.post IS NOT NULL AND c.stratum <> '' GROUP BY c.post, c.stratum),
-held AS (SELECT stratum, root, count(*) AS n FROM c2 GROUP BY stratum, root),
-p AS (SELECT *, lower(regexp_replace(sampling_stratum, '[^\\p{{L}}]', '', 'g')) AS stratum FROM sampling_plans),
-a AS (SELECT p.plan_name, p.sampling_stratum, any_value(p.target_share) AS target_share, any_value(p.sample_rows) AS sample_rows, any_value(p.min_rows) AS min_rows,
-      coalesce(sum(least(held.n, p.max_per_root)), 0) AS available FROM p LEFT JOIN held ON held.stratum = p.stratum GROUP BY p.plan_name, p.sampling_stratum)
+cands AS (SELECT c.post, c.stratum, coalesce(min(f.root), c.post) AS root FROM c LEFT JOIN filled f ON f.post = c.post WHERE c.post IS NOT NULL AND c.stratum <> '' GROUP BY c.post, c.stratum),
+held AS (SELECT stratum, root, count(*) AS n FROM cands GROUP BY stratum, root),
+p AS (SELECT *, lower(regexp_replace(sampling_stratum, '[^\\p{{L}}]', '', 'g')) AS stratum_ FROM sampling_plans),
+a AS (SELECT p.plan_name, p.sampling_stratum, any_value(p.target_share) AS target_share, any_value(p.sample_rows) AS sample_rows, any_value(p.min_rows) AS min_rows, any_value(stratum_) AS stratum, any_value(coalesce(p.max_per_root, 2147483647)) AS cap,
+      coalesce(sum(least(held.n, p.max_per_root)), 0) AS available FROM p LEFT JOIN held ON held.stratum = p.stratum_ GROUP BY p.plan_name, p.sampling_stratum)
+"""
+P5_SPREAD = """
+a{k} AS (SELECT *, (sum(room{k}) OVER w)::BIGINT AS total_, least(sum(pool{k}) OVER w, sum(room{k}) OVER w)::BIGINT AS give_ FROM l{k} WINDOW w AS (PARTITION BY {by})),
+b{k} AS (SELECT *, CASE WHEN total_ > 0 THEN give_ * room{k} // total_ ELSE 0 END AS base_, CASE WHEN total_ > 0 THEN give_ * room{k} % total_ ELSE 0 END AS rem_ FROM a{k}),
+c{k} AS (SELECT *, base_ + CASE WHEN row_number() OVER (PARTITION BY {by} ORDER BY rem_ DESC, idx) <= give_ - sum(base_) OVER (PARTITION BY {by}) THEN 1 ELSE 0 END AS got{k} FROM b{k})"""
+#: the tree of the query: three single strata beside overlap and no signal
+P5_ALLOCATION = P5_AVAILABLE.strip() + """,
+l0 AS (SELECT *, row_number() OVER (PARTITION BY plan_name ORDER BY sampling_stratum) AS idx, CASE WHEN stratum IN ('mutugizisignal', 'tatakelolasignal', 'distribusisignal') THEN 'single' ELSE 'other' END AS grp, greatest(target_share * sample_rows, min_rows) AS want FROM a),
+l00 AS (SELECT *, CASE WHEN want < 1 THEN ceil(want) ELSE floor(want + 0.5) END::BIGINT AS goal FROM l0),
+l1 AS (SELECT *, least(goal, available)::BIGINT AS take0, goal - least(goal, available)::BIGINT AS pool1, (available - least(goal, available))::BIGINT AS room1 FROM l00),""" + P5_SPREAD.format(k=1, by="plan_name, grp") + """,
+l2 AS (SELECT * EXCLUDE (total_, give_, base_, rem_), pool1 - got1 AS pool2, room1 - got1 AS room2 FROM c1),""" + P5_SPREAD.format(k=2, by="plan_name") + """,
+quotas AS (SELECT plan_name, sampling_stratum, stratum, cap, available, want AS target_rows, greatest(0.0, want - available) AS unmet, (take0 + got1 + got2)::BIGINT AS quota, (got1 + got2)::BIGINT AS received FROM c2)
 """
 
 
@@ -75,5 +87,9 @@ WITH RECURSIVE {ROOTS.strip()},
 e AS (SELECT DISTINCT a.root AS a, b.root AS b FROM filled a JOIN filled b ON a.post = b.post AND a.root <> b.root),
 reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
 SELECT a AS root_a, b AS root_b FROM reach WHERE a < b""",
+        "p5_allocation": P5_ALLOCATION + "SELECT * FROM quotas",
+        "p5_sample": P5_ALLOCATION + """, ranked AS (SELECT post, stratum, root, md5('benang|' || post) AS h, dense_rank() OVER (PARTITION BY stratum, root ORDER BY md5('benang|' || post), post) AS in_root FROM cands),
+drawn AS (SELECT q.plan_name, q.sampling_stratum, q.quota, r.post, r.root, dense_rank() OVER (PARTITION BY q.plan_name, q.sampling_stratum, q.cap ORDER BY r.h, r.post) AS at_ FROM ranked r JOIN quotas q ON q.stratum = r.stratum AND r.in_root <= q.cap)
+SELECT plan_name, sampling_stratum, post AS tweet_id, root AS root_tweet_id FROM drawn WHERE at_ <= quota""",
         "p5_found": P5_AVAILABLE + "SELECT DISTINCT plan_name, sampling_stratum FROM a WHERE available < target_share * sample_rows OR available < min_rows",
     }

@@ -164,7 +164,7 @@ def test_mix(spark):
     d, t = mix(spark, docs, [("m", "besar", 0.5, 2), ("m", "kecil", 0.4, 3), ("m", "tiada", 0.1, 5), ("n", "besar", 1.0, 1)])
     assert {tuple(r) for r in mixing.found(d, t).collect()} == {("m", "kecil"), ("m", "tiada"), ("n", "besar")}
     plan = {(r.mix_name, r.source): r for r in mixing.plan(d, t).collect()}
-    assert plan["m", "kecil"].passes == 3.0 and plan["m", "tiada"].budget_tokens == 0 and abs(sum(r.actual_share for k, r in plan.items() if k[0] == "m") - 1) < 1e-9
+    assert plan["m", "kecil"].passes == 3.0 and plan["m", "tiada"].budget_tokens == 0 and abs(sum(r.weight for k, r in plan.items() if k[0] == "m") - 1) < 1e-9
     made = mixing.realise(d, t).toPandas()
     assert made[(made.mix_name == "m") & (made.source == "kecil")]["pass"].max() == 3
     for (m, s), g in made.groupby(["mix_name", "source"]):
@@ -178,10 +178,58 @@ def test_mix_empty(spark):
     assert mixing.found(d, t).count() == 0  # half of nothing is no more than nothing
 
 
-def test_exponent_meets_entropy_or_limit():
-    sizes = [100.0, 10.0, 1.0]
-    target = mixing.tempered(sizes, 0.5)
-    assert abs(mixing.exponent_for(sizes, target, [1000] * 3, 111) - 0.5) < 1e-6
-    e = mixing.exponent_for(sizes, [1 / 3] * 3, [5, 5, 5], 111.0)
-    w = mixing.tempered(sizes, e)
-    assert all(x * 111 <= 5 * s + 1e-6 for x, s in zip(w, sizes)) and 0 < e <= 1
+def test_exponent_meets_target_or_limit():
+    for share, target, limit in ((0.2, 0.5, 1.0), (0.5, 0.2, 1.0), (0.01, 0.4, 0.03), (0.999999, 0.001, 5.0)):
+        w = mixing.tempered(share, mixing.exponent_for(share, target, limit))
+        assert abs(w - min(target, limit)) < 1e-9
+    assert mixing.exponent_for(0.3, 0.3, 1.0) == pytest.approx(1.0) and mixing.tempered(0.3, mixing.exponent_for(0.3, 0.0, 1.0)) == 0
+    assert mixing.entropy([0.5, 0.5]) == pytest.approx(0.6931471805599453)
+
+
+def test_the_exponent_carries_the_mix(spark):
+    import pandas as pd
+
+    rows = pd.DataFrame([("m", "a", 0.5, 2, 900, 1000), ("m", "b", 0.5, 2, 100, 1000)], columns=["mix_name", "source", "target_share", "max_repeats", "tokens", "all_tokens"])
+    bisected, plain = mixing.mix_plan(rows), mixing.mix_plan(rows, lambda s, t, c: 1.0)
+    assert bisected.short.tolist() == [False, True] and bisected.budget_tokens.tolist() == [500, 200]
+    assert plain.budget_tokens.tolist() == [899, 100] and plain.short.tolist() == [False, True]
+    assert mixing.mix_plan(rows, lambda s, t, c: 9.0).short.tolist() == [True, True]
+
+
+def test_realised_shares(spark):
+    docs = [(i, "besar", "kata " * 100) for i in range(40)] + [(100 + i, "kecil", "kata " * 100) for i in range(4)]
+    d, t = mix(spark, docs, [("m", "besar", 0.7, 2), ("m", "kecil", 0.3, 2)])
+    made = mixing.realise(d, t).groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k")).collect()
+    got = {r.source: r for r in mixing.shares(d, t).collect()}
+    total = sum(r.n for r in made)
+    for r in made:
+        assert (got[r.source].mixed_tokens, got[r.source].mixed_rows) == (r.n, r.k) and abs(got[r.source].actual_share - r.n / total) < 1e-12
+    assert got["kecil"].short and not got["besar"].short
+
+
+def test_long_runs_alone_are_cut():
+    path, words = mixing.TOKENIZER, "makan siang sekolah gratis " * 200
+    run = "b" * 2500
+    assert mixing.count_tokens(words + run + " " + words, path) == mixing.count_tokens(words, path) + mixing.count_tokens(run, path) + mixing.count_tokens(" " + words, path)
+
+
+def test_tree_is_data(spark):
+    # three levels: the unmet quota of a goes to its sibling b, then to the cousin c, then to d under the root
+    tree = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("x", "u"), ("y", "u"), ("u", "top"), ("d", "top")], "node string, parent string")
+    cands = [(f"{k}{i}", k) for k, n in (("a", 2), ("b", 13), ("c", 13), ("d", 99)) for i in range(n)]
+    c, t, p = sampling(spark, cands, [], [("p", k, 0.25, 0, 5, 40) for k in "abcd"])
+    avail = quota.available(quota.candidates(c, t), p)
+    got = {r.sampling_stratum: (r.quota, r.unmet) for r in quota.allocate(avail, tree).collect()}
+    assert got == {"a": (2, 8.0), "b": (13, 0.0), "c": (13, 0.0), "d": (12, 0.0)}
+    flat = spark.createDataFrame([("a", "z"), ("d", "z")], "node string, parent string")
+    assert {r.sampling_stratum: r.quota for r in quota.allocate(avail, flat).collect()} == {"a": 2, "b": 10, "c": 10, "d": 18}
+    assert {tuple(r) for r in quota.found(c, t, p, tree).collect()} == {("p", "a")}
+    with pytest.raises(ValueError):
+        quota.allocate(avail, spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"))
+
+
+def test_exact_quotas():
+    from fractions import Fraction
+
+    for s, n in ((0.1, 30), (0.07, 100), (0.29, 100), (1 / 3, 7)):
+        assert float(quota.descend([Fraction(s), Fraction(1.0 - s)], [["g", ""], ["h", ""]], n)[0]) == s * n
