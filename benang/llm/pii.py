@@ -5,10 +5,10 @@
    a number or address, the parts of a name. Unmistakable spans are seeds, for or against.
 2. Spark scores the graph of patterns and instances in turns: a pattern is as good as its instances, an instance
    as its patterns; seeds keep their worth. Counts are smoothed, so rare patterns weigh little.
-3. High-confidence patterns and the name parts they taught go back over the texts, through two fixed-size bit
-   tables (a Bloom filter of 2**22 bits each, whatever the size of the corpus), and find names that no rule
-   proposes: written small, in capitals, or misspelt. What the bit tables let through is joined exactly with the
-   scores.
+3. High-confidence patterns discover what no rule proposes. Numbers of unknown form are taken where their left context
+   is sure of a kind. Patterns and the name parts they taught go back over the texts, through two bit tables (Bloom
+   filters of 16 bits a row, at most 32 MB), and find names written small, in capitals, or misspelt. What the bit tables
+   let through is joined exactly with the scores, word by word.
 4. Spans whose pattern or instance is good enough are personal information; ``redact`` puts placeholders there.
 
 Defined results: null and blank texts hold nothing; rows of one post count together; a handle, a title alone, a
@@ -41,6 +41,8 @@ EMAIL = re.compile(
 _S = r"(?: {1,3}|[.-])"
 ID = re.compile(rf"(?<![\d/])(?:\d{{16}}|\d{{4}}({_S})\d{{4}}\1\d{{4}}\1\d{{4}}|\d{{6}}({_S})\d{{6}}\2\d{{4}}|\d{{6}}{_S}\d{{10}})(?![\d/])")
 PHONE = re.compile(rf"(?<![\w/.-])(?:\+?62{_S}?(?=[2-9])|\(?[0o](?=[1-9]\d))\d{{2,4}}\)?(?:{_S}?\d{{2,9}}){{1,4}}(?![\w/])", re.I)
+#: any run of digit groups; what is neither phone nor id by its form is open, and only its context can tell
+NUMBER = re.compile(r"(?<![\w/.,@-])\+?\(?\d(?:[ ()./-]{0,2}\d){6,19}(?![\w/@])")
 DIGIT_WORDS = {"nol": "0", "kosong": "0", "satu": "1", "dua": "2", "tiga": "3", "empat": "4", "lima": "5", "enam": "6", "tujuh": "7", "delapan": "8", "lapan": "8", "sembilan": "9"}
 SPOKEN = re.compile(r"\b(?:nol|kosong)(?:[ -]{1,3}(?:" + "|".join(DIGIT_WORDS) + r")){7,14}\b", re.I)
 _NUM = r"(?:(?:no|nomor|nomer|kav|kavling|blok|km|#)\.? {0,3})?[a-z]?\d{1,4}(?:/\d{1,4})?[a-z]?\b"
@@ -77,6 +79,10 @@ NAME_GAP = frozenset([","])
 NUMBER_BEFORE = frozenset("resi batch pesanan order invoice faktur kode total status urut absen rekening barcode seri".split())
 
 
+#: begins the instance of a form no rule knows
+OPEN = "?"
+
+
 def digits_of(s: str) -> str:
     return "".join(c for c in s.lower().replace("o", "0") if c.isdigit())
 
@@ -140,6 +146,10 @@ def number_candidates(text: str, low: str) -> list[tuple]:
             other = not NUMBER_BEFORE.isdisjoint(left_words(low, m.start())[-1:])
             prior = 0.0 if other else 1.0 if mobile or s[0] in "(+" else float("nan")
             out.append(("phone", m.start(), m.start() + len(s), ("mobile" if mobile else "fixed") + ("_grouped" if not s.isdigit() else ""), prior))
+            taken.append((m.start(), m.start() + len(s)))
+        for m in NUMBER.finditer(masked(low, taken)):
+            shape = OPEN + re.sub(r"\d+", lambda g: str(len(g.group())), m.group())
+            out += [(kind, m.start(), m.end(), shape, float("nan")) for kind in ("phone", "id_number")]
     if "nol" in low or "kosong" in low:
         for m in SPOKEN.finditer(low):
             out.append(("phone", m.start(), m.end(), "spoken", 1.0))
@@ -172,7 +182,7 @@ def name_runs(text: str, tokens: list[tuple[str, int, int]]) -> list[tuple[int,
             while j < n and CAP.match(tokens[j][0]) and tokens[j][0].rstrip(".").lower() not in STOP and "\n" not in text[tokens[j - 1][2]:tokens[j][1]]:
                 j += 1
             if j - i >= 2:
-                runs.append((i, min(j, i + 4)))
+                runs.append((i, j))
             i = j
         else:
             i += 1
@@ -275,27 +285,39 @@ def bootstrap(edge: DataFrame, scratch: Scratch, rounds: int = 3, smooth: float
     return patterns, inst
 
 
-BITS = 22
+CHUNK = 19
+
+
+def bit_table(df: DataFrame, column: str, per_row: int = 16, least: int = 18, most: int = 28) -> bytes:
+    """A bit table of the crc32 of a column, sized by its count: ``per_row`` bits a row, 2**18 to 2**28 bits (32 MB).
+    Bits are set on the executors in chunks of 64 KB; the driver gets the finished table only."""
+    df = df.select(F.crc32(F.encode(F.col(column).cast("string"), "utf-8")).alias("h")).distinct()
+    size = min(most, max(least, (per_row * max(1, df.count()) - 1).bit_length()))
+    bits = df.select((F.col("h") % F.lit(1 << size)).alias("bit")).distinct().withColumn("chunk", F.shiftright("bit", CHUNK).cast("int"))
 
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << min(size, CHUNK), bool)
+        on[pdf["bit"].to_numpy(np.int64) & ((1 << CHUNK) - 1)] = True
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "bits": [np.packbits(on, bitorder="little").tobytes()]})
 
-def bit_table(df: DataFrame, column: str) -> bytes:
-    """A bit table of 2**22 bits of the crc32 of a column: at most 512 KB, whatever the number of rows."""
-    at = [r[0] for r in df.select((F.crc32(F.encode(F.col(column), "utf-8")) % F.lit(1 << BITS)).cast("int").alias("b")).distinct().collect()]
-    bits = np.zeros(1 << BITS, bool)
-    bits[at] = True
-    return np.packbits(bits, bitorder="little").tobytes()
+    out = bytearray(1 << (size - 3))
+    width = 1 << (min(size, CHUNK) - 3)
+    for r in bits.groupBy("chunk").applyInPandas(pack, "chunk int, bits binary").toLocalIterator():
+        out[r["chunk"] * width:(r["chunk"] + 1) * width] = r["bits"]
+    return bytes(out)
 
 
 def held(table: bytes, word: str) -> bool:
-    h = zlib.crc32(word.encode()) & ((1 << BITS) - 1)
+    h = zlib.crc32(word.encode()) & (len(table) * 8 - 1)
     return bool(table[h >> 3] >> (h & 7) & 1)
 
 
-FOUND = "row long, tweet_id string, s int, e int, parts array<string>, left string"
+FOUND = "row long, tweet_id string, s int, e int, parts array<string>, starts array<int>, ends array<int>, left string"
 
 
 def discover(rows: DataFrame, names: bytes, lefts: bytes) -> DataFrame:
-    """Runs of two to four words that are known name parts, or that follow a good pattern, however written."""
+    """Runs of words that may be known name parts, or that follow a good pattern, however written; with the places of
+    the words, since a word the bit table lets through by chance is taken out again by the exact check."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, bool] = {}
 
@@ -329,7 +351,7 @@ def discover(rows: DataFrame, names: bytes, lefts: bytes) -> DataFrame:
                     if a and tokens[a - 1][0][:-1].isalpha() and len(tokens[a - 1][0]) == 2 and tokens[a - 1][0].endswith("."):
                         a -= 1
                     j = i + 1
-                    while j < n and j - a < 5 and "\n" not in low[tokens[j - 1][2]:tokens[j][1]]:
+                    while j < n and "\n" not in low[tokens[j - 1][2]:tokens[j][1]]:
                         w = tokens[j][0]
                         if part(w.rstrip(".")) or (len(w) == 2 and w.endswith(".") and w[0].isalpha()):
                             j += 1
@@ -348,17 +370,37 @@ def discover(rows: DataFrame, names: bytes, lefts: bytes) -> DataFrame:
                             if 0 <= x and y <= n and tokens[other][0].isalpha() and len(tokens[other][0]) > 3 and tokens[other][0] not in STOP and tokens[other][0] not in TITLES and "\n" not in low[tokens[x][1]:tokens[y - 1][2]]:
                                 l2 = name_pattern(tokens, x)[0]
                                 if held(lefts, "L:" + l2):
-                                    out.append((row, tweet, tokens[x][1], tokens[y - 1][2], [t[0].rstrip(".") for t in tokens[x:y]], l2))
+                                    out.append((row, tweet, tokens[x][1], tokens[y - 1][2], [t[0].rstrip(".") for t in tokens[x:y]], [t[1] for t in tokens[x:y]], [t[2] for t in tokens[x:y]], l2))
                                     break
                     elif a == 0 or tokens[a - 1][0] != "@":
-                        end = tokens[j - 1][2] - (tokens[j - 1][0].endswith(".") and len(tokens[j - 1][0]) > 2)
-                        out.append((row, tweet, tokens[a][1], end, words, left))
+                        kept = [t for t in tokens[a:j] if t[0] != ","]
+                        ends = [t[2] - (t[0].endswith(".") and len(t[0]) > 2) for t in kept]
+                        out.append((row, tweet, tokens[a][1], ends[-1], words, [t[1] for t in kept], ends, left))
                     i = j
-            yield pd.DataFrame(out, columns=["row", "tweet_id", "s", "e", "parts", "left"])
+            yield pd.DataFrame(out, columns=["row", "tweet_id", "s", "e", "parts", "starts", "ends", "left"])
 
     return rows.mapInPandas(run, FOUND)
 
 
+def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names in runs of words, of which each is known or not."""
+    for b in batches:
+        out = []
+        for row, tweet, parts, starts, ends, lead, known in zip(b["row"], b["tweet_id"], b["parts"], b["starts"], b["ends"], b["lead"], b["known"]):
+            n, i = len(parts), 0
+            if lead and n >= 2 and any(known):
+                out.append((row, tweet, starts[0], ends[-1]))
+                continue
+            while i < n:
+                j = i
+                while j < n and (known[j] or len(parts[j]) == 1):
+                    j += 1
+                if j - i >= 2 and any(known[k] for k in range(i, j)):
+                    out.append((row, tweet, starts[i], ends[j - 1]))
+                i = max(j, i + 1)
+        yield pd.DataFrame(out, columns=["row", "tweet_id", "s", "e"])
+
+
 def rows_of(threads: DataFrame) -> DataFrame:
     """(row, tweet_id, text); the row number only ties spans to their text within one run."""
     return threads.select(F.monotonically_increasing_id().alias("row"), filled_id(F.col("tweet_id")).alias("tweet_id"), F.col("teks_komentar").alias("text"))
@@ -366,7 +408,7 @@ def rows_of(threads: DataFrame) -> DataFrame:
 
 def spans(rows: DataFrame, scratch: Scratch, good: float = 0.5, part_good: float = 0.6) -> DataFrame:
     """row, tweet_id, kind, s, e: the spans that hold personal information."""
-    cands = scratch.save(candidates(rows.where(F.col("text").rlike(r"[0-9０-９@＠]|[Nn][Oo][Ll] |(?i: at | et |\(at|\[at|street|\brt\b)|[A-Z][a-z'.]+ +[A-Z]"))))
+    cands = scratch.save(candidates(rows))
     edge = scratch.save(edges(cands))
     patterns, inst = bootstrap(edge, scratch)
 
@@ -385,17 +427,20 @@ def spans(rows: DataFrame, scratch: Scratch, good: float = 0.5, part_good: float
         part = F.coalesce(F.col(name + "t"), F.lit(0.0)) * w
         weight, evidence = weight + part, evidence + part * F.coalesce(name, F.lit(0.0))
     mean = (evidence + F.coalesce("i", F.lit(0.5))) / (weight + 1.0)
-    ok = F.when(F.col("prior") == 1.0, F.coalesce("l2", F.lit(1.0)) >= 0.2).when(F.col("prior") == 0.0, F.lit(False)).otherwise(mean >= good)
+    # a form no rule knows needs a left context that is sure by itself, and surer for this kind than for the other
+    is_open = F.col("instance").startswith(OPEN)
+    sure = (F.coalesce("l2", F.lit(0.0)) >= 0.8) & (F.coalesce("l2t", F.lit(0.0)) >= 0.75)
+    ok = F.when(is_open, sure).when(F.col("prior") == 1.0, F.coalesce("l2", F.lit(1.0)) >= 0.2).when(F.col("prior") == 0.0, F.lit(False)).otherwise(mean >= good)
     accepted = numbers.where(ok).select("row", "tweet_id", "kind", "s", "e")
     parts = scratch.save(inst.where((F.col("kind") == "person_name") & (F.col("score") >= part_good)).select(F.col("instance").alias("part"), F.col("score")))
     lefts = scratch.save(patterns.where((F.col("kind") == "person_name") & F.col("pattern").startswith("L:") & (F.col("score") >= 0.8) & (F.col("n") >= 4)).select("pattern"))
     seen = scratch.save(discover(rows, bit_table(parts, "part"), bit_table(lefts, "pattern")))
-    # exact check of what the bit tables let through: at least two parts, all but initials known, or one known part
-    # under a good pattern
-    each = seen.withColumn("key", F.struct("row", "s")).select("row", "s", F.explode("parts").alias("part")).where(F.length("part") > 1)
-    known = each.join(parts, "part", "left").groupBy("row", "s").agg(F.count("score").alias("known"), F.count(F.lit(1)).alias("words"))
-    by_left = seen.withColumn("pattern", F.concat(F.lit("L:"), "left")).join(lefts.withColumn("lead", F.lit(True)), "pattern", "left")
-    names = by_left.join(known, ["row", "s"]).where((F.size("parts") >= 2) & (((F.col("known") == F.col("words")) & (F.col("words") + (F.size("parts") > F.col("words")).cast("int") >= 2)) | (F.coalesce("lead", F.lit(False)) & (F.col("known") >= 1))))
+    # exact check of what the bit tables let through: of every run the stretches of known parts and initials with at
+    # least two words of which one is no initial, or one known part under a good pattern
+    each = seen.select("row", "s", F.posexplode("parts").alias("pos", "part"))
+    flags = each.join(parts, "part", "left").groupBy("row", "s").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("score").isNotNull().alias("known")))).alias("f"))
+    lead = seen.withColumn("pattern", F.concat(F.lit("L:"), "left")).join(lefts.withColumn("lead", F.lit(True)), "pattern", "left")
+    names = lead.join(flags, ["row", "s"]).select("row", "tweet_id", "parts", "starts", "ends", F.coalesce("lead", F.lit(False)).alias("lead"), F.col("f.known").alias("known")).mapInPandas(stretches, "row long, tweet_id string, s int, e int")
     strong = cands.where((F.col("kind") == "person_name") & (F.col("prior") == 1.0))
     return accepted.unionByName(names.select("row", "tweet_id", F.lit("person_name").alias("kind"), "s", "e")).unionByName(strong.select("row", "tweet_id", "kind", "s", "e"))
 
@@ -420,15 +465,23 @@ def redact_text(text: str, marks: list[tuple[int, int, str]]) -> str:
 
 
 def redact(threads: DataFrame) -> DataFrame:
-    """tweet_id, text, redacted, n_spans of every row of threads."""
+    """tweet_id, text, redacted, n_spans of every row of threads. Rows that a bit table of the marked row numbers rules
+    out go straight through; only the others are shuffled to meet their marks."""
     scratch = Scratch(threads.sparkSession)
     rows = scratch.save(rows_of(threads))
-    marks = spans(rows, scratch).groupBy("row").agg(F.collect_set(F.struct("s", "e", "kind")).alias("marks"))
-    joined = rows.join(marks, "row", "left")
+    marks = scratch.save(spans(rows, scratch).groupBy("row").agg(F.collect_set(F.struct("s", "e", "kind")).alias("marks")))
+    shared = threads.sparkSession.sparkContext.broadcast(bit_table(marks, "row"))
+
+    @F.pandas_udf("boolean")
+    def maybe(row: pd.Series) -> pd.Series:
+        table = shared.value
+        return row.map(lambda r: held(table, str(r)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             made = [t if not isinstance(t, str) or m is None else redact_text(t, [(x["s"], x["e"], x["kind"]) for x in m]) for t, m in zip(b["text"], b["marks"])]
             yield pd.DataFrame({"tweet_id": b["tweet_id"], "text": b["text"], "redacted": made, "n_spans": [0 if m is None else len(m) for m in b["marks"]]})
 
-    return joined.select("tweet_id", "text", "marks").mapInPandas(run, "tweet_id string, text string, redacted string, n_spans int")
+    tagged = rows.withColumn("maybe", maybe("row"))
+    met = tagged.where("maybe").join(marks, "row", "left").select("tweet_id", "text", "marks").mapInPandas(run, "tweet_id string, text string, redacted string, n_spans int")
+    return met.unionByName(tagged.where("not maybe").select("tweet_id", "text", F.col("text").alias("redacted"), F.lit(0).alias("n_spans")))

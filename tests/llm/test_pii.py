@@ -1,3 +1,5 @@
+import pytest
+
 from benang.llm import pii
 from benang.session import Scratch
 
@@ -66,3 +68,35 @@ def test_bootstrap_scores(spark):
     _, inst = pii.bootstrap(pii.edges(cands), Scratch(spark))
     s = {r.instance: r.score for r in inst.collect()}
     assert s["a"] > s["b"] > 0.5 > s["d"] > s["c"]
+
+
+def test_unseen_form_of_a_number_by_its_context(spark):
+    rows = [*KNOWN, *[(f"h{i}", f"no hp saya 0864{i:08d} ya") for i in range(12)], ("1", "no hp saya 77.123.4567 ya"), ("2", "jumlah porsi 77.123.4567 ya")]
+    got = found(spark, rows)
+    assert ("1", "phone") in got and not {i for i, _ in got} & {"2"}
+
+
+def test_names_of_any_length(spark):
+    rows = [*KNOWN, ("1", "tanya ke Pak Darjito Budira Cahyota Darmira Ekota Fajarun ya")]
+    got = {r.tweet_id: r.redacted for r in pii.redact(spark.createDataFrame([(*r, "x", 1, "y") for r in rows], SCHEMA)).collect()}
+    assert got["1"] == "tanya ke Pak [PERSON_NAME] ya"
+
+
+@pytest.mark.parametrize("text", ["hubungi kosong delapan satu dua tiga empat lima enam tujuh ya", "hubungi nol-delapan-satu-dua-tiga-empat-lima-enam ya"])
+def test_no_text_is_left_out(spark, text):
+    assert ("1", "phone") in found(spark, [*KNOWN, ("1", text)])
+
+
+def test_bit_table(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    table = pii.bit_table(spark.createDataFrame([(w,) for w in words], "w string"), "w")
+    assert len(table) == 1 << 17 and all(pii.held(table, w) for w in words)
+    assert sum(pii.held(table, f"x{i}") for i in range(10_000)) < 1000
+    assert pii.bit_table(spark.createDataFrame([], "w string"), "w") == bytes(1 << 15)
+
+
+def test_chance_words_are_taken_out():
+    import pandas as pd
+
+    b = pd.DataFrame([(1, "t", ["ayu", "lestari", "kotak", "budi", "s"], [0, 4, 12, 18, 23], [3, 11, 17, 22, 24], False, [True, True, False, True, False])], columns=["row", "tweet_id", "parts", "starts", "ends", "lead", "known"])
+    assert [tuple(r) for r in next(pii.stretches(iter([b]))).itertuples(index=False)] == [(1, "t", 0, 11), (1, "t", 18, 24)]
