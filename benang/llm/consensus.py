@@ -1,15 +1,17 @@
 """Consensus from several annotators' labels: competence-and-spamming mixture by expectation-maximisation.
 
 Each label is either truthful (with the annotator's competence) or drawn from the annotator's own guess
-distribution. The expected counts of a round are summed by Spark over all items; what returns to the driver is one
-row per annotator and label, at most ``max_annotators`` annotators. Once the mixture has settled, the words of the
-items give each item a prior (a multinomial model fitted to the posteriors), and the mixture is run to its end with
-these priors.
+distribution. Items with the same votes count as one pattern with their number, so a round costs what the different
+patterns cost. The expected counts of a round are summed by Spark over all patterns; what returns to the driver is one
+row per annotator and label, at most ``max_annotators`` annotators. The consensus rests on labels alone. On request
+(``words``) the words of the items give each item a prior (a multinomial model fitted to the posteriors), and the mixture
+is run on with these priors: that may decide items whose few annotators are all poor, and may outvote people, so it is
+a result of its own (``with_words``).
 
 Defined results: of several marks of an annotator on an item the latest holds (at equal times the greater text),
 also where it is blank or UNCLEAR and so gives no label; labels match apart from case, separators and up to two
 wrong letters; the labels in pilot_raw count for a slot only where annotation_marks has none for it; an adjudicated
-label is one more annotator's; an item without labels is decided by its prior; ties go to the first category; null
+label is one more annotator's; an item without labels has the categories' shares; ties go to the first category; null
 ids are ignored; empty tables give empty results.
 """
 
@@ -113,21 +115,27 @@ def priors_of(b: pd.DataFrame, k: int):
     return np.array(b["prior"].tolist(), float).reshape(len(b), k) if "prior" in b else None
 
 
+def patterns(table: DataFrame) -> DataFrame:
+    """Items of equal votes (and equal priors) as one row with their number ``n``."""
+    keep = [c for c in ("annotators", "labels", "prior") if c in table.columns]
+    return table.groupBy(*keep).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+
 def expectation(table: DataFrame, model: Mixture) -> pd.DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         true, spam = np.zeros((len(model.index), model.k)), np.zeros((len(model.index), model.k))
         share = np.zeros(model.k)
         for b in batches:
+            n = b["n"].to_numpy(float)
             p, item, a, lab, truthful = model.posterior(b["annotators"], b["labels"], priors_of(b, model.k))
-            np.add.at(true, (a, lab), truthful)
-            np.add.at(spam, (a, lab), 1 - truthful)
-            share += p.sum(0)
+            np.add.at(true, (a, lab), truthful * n[item])
+            np.add.at(spam, (a, lab), (1 - truthful) * n[item])
+            share += (p * n[:, None]).sum(0)
         rows = [("", c, share[c], 0.0) for c in range(model.k)]
-        rows += [(n, c, true[i, c], spam[i, c]) for i, n in enumerate(model.index) for c in range(model.k) if true[i, c] + spam[i, c] > 0]
+        rows += [(name, c, true[i, c], spam[i, c]) for i, name in enumerate(model.index) for c in range(model.k) if true[i, c] + spam[i, c] > 0]
         yield pd.DataFrame(rows, columns=["annotator", "label", "truthful", "spam"])
 
-    keep = ["annotators", "labels"] + (["prior"] if "prior" in table.columns else [])
-    return table.select(*keep).mapInPandas(run, COUNTS).groupBy("annotator", "label").agg(F.sum("truthful").alias("truthful"), F.sum("spam").alias("spam")).toPandas()
+    return table.mapInPandas(run, COUNTS).groupBy("annotator", "label").agg(F.sum("truthful").alias("truthful"), F.sum("spam").alias("spam")).toPandas()
 
 
 def posteriors(table: DataFrame, model: Mixture) -> DataFrame:
@@ -165,11 +173,14 @@ def with_priors(post: DataFrame, k: int, scratch: Scratch, weight: float = 1.0,
 
 def fit(table: DataFrame, k: int, rounds: int = 25, tolerance: float = 1e-3, max_annotators: int = 100_000, model: Mixture | None = None) -> Mixture:
     """The mixture fitted to items; a given model goes on from where it stands."""
+    scratch = Scratch(table.sparkSession)
+    votes_ = scratch.save(patterns(table))
     if model is None:
-        model = start(table, k, max_annotators)
+        model = start(votes_, k, max_annotators)
     for _ in range(rounds):
-        if model.update(expectation(table, model)) < tolerance:
+        if model.update(expectation(votes_, model)) < tolerance:
             break
+    scratch.drop(votes_)
     return model
 
 
@@ -180,22 +191,22 @@ def start(table: DataFrame, k: int, max_annotators: int) -> Mixture:
     return Mixture(sorted(names), k)
 
 
-def solve(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES) -> tuple[DataFrame, Mixture]:
+def solve(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES, words: bool = False) -> tuple[DataFrame, Mixture]:
     """Items with final posteriors ``p``, and the fitted mixture."""
     k = len(categories)
     scratch = Scratch(pilot.sparkSession)
     table = scratch.save(items(pilot, votes(pilot, marks, categories)))
     model = fit(table, k)
-    for _ in range(2):
+    for _ in range(2 if words else 0):
         informed = scratch.save(with_priors(scratch.save(posteriors(table, model)), k, scratch))
         model = fit(informed, k, model=model)
         table = informed
     return scratch.save(posteriors(table, model)), model
 
 
-def consensus(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
+def consensus(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES, words: bool = False) -> DataFrame:
     """tweet_id, category, confidence, n_labels, agreement (share of labels equal to the consensus, null if none)."""
-    post, _ = solve(pilot, marks, categories)
+    post, _ = solve(pilot, marks, categories, words)
     best = F.array_max("p")
     at = F.array_position("p", best).cast("int")
     n = F.size("labels")
@@ -207,6 +218,14 @@ def found(pilot: DataFrame, marks: DataFrame) -> DataFrame:
     return consensus(pilot, marks).select("tweet_id", "category")
 
 
+def with_words(pilot: DataFrame, marks: DataFrame) -> DataFrame:
+    """The consensus from labels beside that with the prior of words: tweet_id, category, confidence, category_words,
+    confidence_words, agreement, agreement_words."""
+    plain = consensus(pilot, marks)
+    informed = consensus(pilot, marks, words=True).select("tweet_id", *[F.col(c).alias(f"{c}_words") for c in ("category", "confidence", "agreement")])
+    return plain.join(informed, "tweet_id").select("tweet_id", "category", "confidence", "category_words", "confidence_words", "agreement", "agreement_words")
+
+
 def reliability(pilot: DataFrame, marks: DataFrame, categories: list[str] = CATEGORIES) -> DataFrame:
     """Per annotator: competence, labels given, agreement with the consensus, and the guess distribution."""
     post, model = solve(pilot, marks, categories)

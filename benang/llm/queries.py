@@ -11,6 +11,7 @@ def queries() -> dict:
         "p1_found": lambda s, d: pii.found(t(s, d, "threads")),
         "p1_redacted": lambda s, d: pii.redact(t(s, d, "threads")),
         "p3_found": lambda s, d: splits.found(t(s, d, "threads")),
+        "p3_components": lambda s, d: splits.tied(t(s, d, "threads")),
         "p3_splits": lambda s, d: splits.assign(t(s, d, "threads")),
         "p3_shares": lambda s, d: splits.shares(t(s, d, "threads")),
         "p4_found": lambda s, d: abuse.found(t(s, d, "threads")),
@@ -21,6 +22,7 @@ def queries() -> dict:
         "p5_sample": lambda s, d: quota.draw(t(s, d, "coordinator_sampling"), t(s, d, "threads"), t(s, d, "sampling_plans")),
         "p7_found": lambda s, d: consensus.found(t(s, d, "pilot_raw"), t(s, d, "annotation_marks")),
         "p7_consensus": lambda s, d: consensus.consensus(t(s, d, "pilot_raw"), t(s, d, "annotation_marks")),
+        "p7_with_words": lambda s, d: consensus.with_words(t(s, d, "pilot_raw"), t(s, d, "annotation_marks")),
         "p7_reliability": lambda s, d: consensus.reliability(t(s, d, "pilot_raw"), t(s, d, "annotation_marks")),
         "p8_found": lambda s, d: leaks.found(t(s, d, "documents"), t(s, d, "eval_items")),
         "p8_spans": lambda s, d: leaks.spans(t(s, d, "documents"), t(s, d, "eval_items")),
@@ -81,6 +83,7 @@ splits AS (SELECT tweet_id, root_tweet_id, component, CASE WHEN s1 >= s2 AND s1
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_splits": P3_SPLITS + "SELECT * FROM splits",
+        "p3_components": P3_SPLITS + "SELECT root AS root_tweet_id, component FROM comp",
         "p3_shares": P3_SPLITS + "SELECT split, count(*) AS n_rows, count(DISTINCT component) AS n_components, count(*) / (SELECT count(*) FROM splits) AS share, CASE split WHEN 'train' THEN 0.8 ELSE 0.1 END AS target_share FROM splits GROUP BY split",
         "p3_found": f"""
 WITH RECURSIVE {ROOTS.strip()},

@@ -27,8 +27,10 @@ def ties(threads: DataFrame) -> DataFrame:
     return rows.join(several, "post").where("root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(node, component) of undirected edges (a, b); the component is named by its least node."""
+def components(edges: DataFrame, scratch: Scratch | None = None, hot: int = 100_000) -> DataFrame:
+    """(node, component) of undirected edges (a, b); the component is named by its least node. The rows of a node with
+    more than ``hot`` members (or a thousandth of all rows) are salted over several tasks, so that the least node of a
+    giant component is no single key; there are at most a thousand such nodes."""
     scratch = scratch or Scratch(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cluster = both.select(F.col("a").alias("node"), F.col("b").alias("member")).unionByName(both.select(F.col("a").alias("node"), F.col("a").alias("member"))).distinct()
@@ -36,14 +38,24 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     digest = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "member").cast("decimal(38,0)"))).first()
     seen = digest(cluster)
     while True:
-        least = cluster.groupBy("node").agg(F.min("member").alias("least"))
-        sent = cluster.join(least, "node")
+        least = scratch.save(cluster.groupBy("node").agg(F.min("member").alias("least"), F.count(F.lit(1)).alias("n")))
+        sizes = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        bound = max(hot, sizes[0] // 1000)
+        if sizes[1] > bound:
+            pieces = (F.col("n") / bound + 1).cast("int")
+            salts = F.broadcast(least.where(F.col("n") > bound).select("node", pieces.alias("pieces")))
+            spread = cluster.join(salts, "node", "left").withColumn("salt", F.pmod(F.xxhash64("member"), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
+            copies = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > bound, pieces - 1).otherwise(0)))).drop("n")
+            sent = spread.join(copies, ["node", "salt"])
+        else:
+            sent = cluster.join(least.drop("n"), "node")
         sent = sent.select(F.explode(F.array(
             F.struct(F.col("least").alias("node"), F.col("member").alias("member")),
             F.struct(F.col("member").alias("node"), F.col("least").alias("member")),
         )).alias("s")).select("s.node", "s.member")
         nxt = scratch.save(sent.distinct())
         scratch.drop(cluster)
+        scratch.drop(least)
         cluster, now = nxt, digest(nxt)
         if now == seen:
             return cluster.groupBy("node").agg(F.min("member").alias("component"))
@@ -60,6 +72,11 @@ def rendezvous(key: Column, weights: dict[str, float], seed: str = "benang") ->
     return F.greatest(*[score(n, w) for n, w in weights.items() if w > 0]).getField("split") if len(weights) > 1 else F.lit(next(iter(weights)))
 
 
+def tied(threads: DataFrame) -> DataFrame:
+    """(root_tweet_id, component) of every thread that is tied to another: one row per thread, whatever the component's size."""
+    return components(ties(threads)).select(F.col("node").alias("root_tweet_id"), "component")
+
+
 def found(threads: DataFrame) -> DataFrame:
     """Pairs of roots that must share a split; the pairs of a component are the result asked for."""
     comp = Scratch(threads.sparkSession).save(components(ties(threads)))

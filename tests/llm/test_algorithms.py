@@ -42,6 +42,13 @@ def test_long_chain_stays_together(spark):
     assert len({x.split for x in got}) == 1 and len({x.component for x in got}) == 1
 
 
+def test_hot_least_node_is_salted(spark):
+    edges = spark.createDataFrame([("a", f"n{i:03d}") for i in range(200)] + [("x", "y"), ("y", "z"), ("n000", "m")], "a string, b string")
+    want = {(r.node, r.component) for r in splits.components(edges).collect()}
+    assert {(r.node, r.component) for r in splits.components(edges, hot=20).collect()} == want
+    assert {c for n, c in want if n not in "xyz"} == {"a"} and {c for n, c in want if n in "xyz"} == {"x"}
+
+
 def test_no_thread_or_post_is_spread(spark):
     r = random.Random(5)
     rows = [(f"t{r.randrange(300)}", f"r{r.randrange(200)}" if r.random() < 0.9 else None) for _ in range(600)]
@@ -128,6 +135,25 @@ def test_consensus_and_reliability(spark):
     assert rel["lazy"].guess[0] > 0.8
 
 
+def test_people_outvote_words(spark):
+    # three good annotators agree against what the item's words are everywhere else
+    from datetime import datetime
+
+    truth, p, m = crowd(spark, 120)
+    odd_p = spark.createDataFrame([("odd", "r", "paket tumpah telat", "", "", "", "x", 0.0)], PILOT)
+    odd_m = spark.createDataFrame([("odd", a, 1, "Mutu_Gizi", datetime(2026, 1, 1), 0) for a in ("good", "fair", "lazy")] + [(i, a, 1, c, datetime(2026, 1, 3), 0) for i, c in truth.items() for a in ("good", "fair")], MARKS)
+    p, m = p.unionByName(odd_p), m.unionByName(odd_m)
+    got = {r.tweet_id: r for r in consensus.with_words(p, m).collect()}
+    assert got["odd"].category == "Mutu_Gizi" and {r.tweet_id: r.category for r in consensus.found(p, m).collect()}["odd"] == "Mutu_Gizi"
+
+
+def test_patterns_count_like_items(spark):
+    _, p, m = crowd(spark, 60)
+    table = consensus.items(p, consensus.votes(p, m))
+    n = consensus.patterns(table)
+    assert n.agg(F.sum("n")).first()[0] == table.count() > n.count()
+
+
 def test_marks_that_hold(spark):
     from datetime import datetime
 
