@@ -31,9 +31,11 @@ SEED = r"(?i)(?:status/)?([0-9]{6,})/?(\?.*)?$"
 NEGATIVE_FILTERS = ("-filter:links", "-filter:media")
 RETWEET_FLAGS = ("1", "true", "yes", "y")
 NEGATIONS = ("tidak", "bukan", "belum", "jangan", "kurang", "tanpa")
-# the topic of these data; both are parameters
-TOPIC = r"(?i)(makan siang|makan gratis|gizi|dapur|menu|porsi|sekolah)"
+DOMAIN_TERMS = ("mbg", "sppg", "bgn", "3t", "slhs", "haccp")
+TOPIC = rf"(?i)(?<!{LETTER})mbg(?!{LETTER})|makan{SPACE}+bergizi|makan{SPACE}+siang{SPACE}+gratis|makan{SPACE}+gratis{SPACE}+(?:anak{SPACE}+)?sekolah|embege|makanbergizigratis"
+# hosts of the programme in these data; a parameter
 OFFICIAL = ("linimasa.example", "tautan.example")
+# fixed values again
 STOPWORDS = ("yang", "dan", "di", "ke", "dari", "ini", "itu", "untuk", "dengan", "pada", "adalah", "akan", "juga", "sudah", "saya", "kami", "mereka", "kita", "ada", "bisa", "atau", "oleh", "jika", "saat", "agar", "hanya", "lebih", "serta", "antara", "karena", "tetapi", "namun", "maka", "lalu", "pun", "kalau", "supaya", "demi", "selain", "sebagai", "yakni", "bahwa")
 
 
@@ -109,7 +111,8 @@ def replace_words(c: Column, lookup: Column) -> Column:
     return F.array_join(F.transform(words, lambda x: F.coalesce(F.try_element_at(lookup, F.lower(x)), x)), " ")
 
 
-def drop_stopwords(c: Column, stop: tuple[str, ...] = STOPWORDS, keep: tuple[str, ...] = NEGATIONS) -> Column:
+def drop_stopwords(c: Column, stop: tuple[str, ...] = STOPWORDS, keep: tuple[str, ...] = NEGATIONS + DOMAIN_TERMS) -> Column:
+    """Words between white space without the stop words; negations and terms of the domain always stay."""
     words = F.filter(F.split(c, rf"{SPACE}+"), lambda x: (x != "") & (F.lower(x).isin(*keep) | ~F.lower(x).isin(*stop)))
     return F.array_join(words, " ")
 
@@ -164,8 +167,8 @@ def has_url(c: Column) -> Column:
     return text_or_blank(c).rlike(URL)
 
 
-def good_quality(c: Column) -> Column:
-    return meaningful(c) & relevant(c) & ~has_url(c) & ~only_official_link(c)
+def good_quality(c: Column, topic: str = TOPIC) -> Column:
+    return meaningful(c) & relevant(c, topic) & ~has_url(c) & ~only_official_link(c)
 
 
 def search_query(c: Column) -> Column:
@@ -205,3 +208,13 @@ def top_two(probabilities: Column) -> tuple[Column, Column, Column]:
 def squeeze(c: Column) -> Column:
     """Repeated letters to one."""
     return F.regexp_replace(c, r"(.)\1+", "$1")
+
+
+def stamp(c: Column) -> Column:
+    """A time as ISO text of the +07:00 zone."""
+    return F.date_format(F.from_utc_timestamp(c, "+07:00"), "yyyy-MM-dd'T'HH:mm:ss'+07:00'")
+
+
+def id_of(text: Column, number: Column) -> Column:
+    """The text form of an id where it is filled, else its number."""
+    return F.coalesce(F.when(F.trim(text) != "", F.trim(text)), number.cast("string"), F.lit(""))

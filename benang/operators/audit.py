@@ -39,11 +39,14 @@ def audit(df: DataFrame, state: DataFrame | None = None) -> DataFrame:
         bad = bad | ((c != "") & ~c.rlike("^[0-9]+$"))
         science = science | c.rlike(SCIENTIFIC)
     main = df.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.count_distinct(F.when(t != "", t)).alias("distinct_ids"), (F.count_if(t != "") - F.count_distinct(F.when(t != "", t))).alias("duplicate_rows"),
+        F.count(F.lit(1)).alias("total_rows"),
         F.count_if(bad).alias("invalid_ids"), F.count_if(science).alias("scientific_ids"), *[F.count_if(blank(F.col(c))).alias(f"blank_{c}") for c in ("tweet_id", "root_tweet_id", "waktu_posting", "username", "teks_komentar", "sumber_akuisisi", "hierarki_komentar")],
-        F.count_distinct(F.when(filled[1] != "", filled[1])).alias("distinct_roots"), F.count_if(F.col("hierarki_komentar") == ROOT).alias("root_rows"), *[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in violations().items()],
+        F.count_if(F.col("hierarki_komentar") == ROOT).alias("root_rows"), *[F.count_if(F.coalesce(v, F.lit(False))).alias(k) for k, v in violations().items()],
     )
-    parts = [main, orphan_replies(df).agg(F.count(F.lit(1)).alias("orphans"))]
+    # one aggregation per id, then counts over it: no row is multiplied for its distinct columns
+    per_id = df.where(t != "").groupBy(t.alias("id")).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("distinct_ids"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
+    per_root = df.where(filled[1] != "").select(filled[1]).distinct().agg(F.count(F.lit(1)).alias("distinct_roots"))
+    parts = [main, per_id, per_root, orphan_replies(df).agg(F.count(F.lit(1)).alias("orphans"))]
     if state is not None:
         d = difference(df.select(t.alias("tweet_id")).where("tweet_id <> ''"), state.select(normalize_id(F.col("tweet_id")).alias("tweet_id")), "tweet_id")
         parts.append(d.agg(F.count_if(F.col("side") == "left_only").alias("data_only"), F.count_if(F.col("side") == "right_only").alias("state_only")))
@@ -56,7 +59,8 @@ def duplicate_ids(df: DataFrame) -> DataFrame:
 
 
 def replies_per_root(df: DataFrame) -> DataFrame:
-    return df.where((F.col("hierarki_komentar") != ROOT) & ~blank(F.col("root_tweet_id"))).groupBy("root_tweet_id").agg(F.count(F.lit(1)).alias("n_replies"))
+    """Direct replies of each root that has some."""
+    return df.where((F.col("hierarki_komentar") == DIRECT) & ~blank(F.col("root_tweet_id"))).groupBy("root_tweet_id").agg(F.count(F.lit(1)).alias("n_replies"))
 
 
 def reply_statistics(df: DataFrame) -> DataFrame:
@@ -72,6 +76,22 @@ def heavy_roots(df: DataFrame, least: int = 200) -> DataFrame:
     return replies_per_root(df).where(F.col("n_replies") >= least)
 
 
+def dataset_audit(df: DataFrame) -> DataFrame:
+    """One row: rows, distinct and repeated ids, rows per level, roots with direct replies, whether all roots and all
+    direct replies keep their relations (true where there are none), orphans, rows without text, and the statistics of
+    replies per root."""
+    lv, text = F.col("hierarki_komentar"), F.col("teks_komentar")
+    broken = violations()
+    # rows per id first, so that no column is counted by distinct rows over all rows
+    ids = df.groupBy("tweet_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("distinct_ids"), F.count_if(F.col("n") > 1).alias("repeated_ids"))
+    main = df.agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_if(lv == ROOT).alias("root_rows"), F.count_if(lv == DIRECT).alias("direct_rows"), F.count_if(lv == NESTED).alias("nested_rows"),
+        (F.count_if(F.coalesce(broken["bad_roots"], F.lit(False))) == 0).alias("roots_ok"), (F.count_if(F.coalesce((lv == DIRECT) & ~((F.col("in_reply_to_tweet_id") == F.col("root_tweet_id")) & (F.col("conversation_id") == F.col("root_tweet_id"))), F.lit(False))) == 0).alias("direct_ok"),
+        F.count_if(text_or_blank(text) == "").alias("missing_text"),
+    )
+    return one_row(main, ids, replies_per_root(df).agg(F.count(F.lit(1)).alias("roots_with_replies")), orphan_replies(df).agg(F.count(F.lit(1)).alias("orphans")), reply_statistics(df))
+
+
 def distribution(df: DataFrame, column: str, blank_name: str = "(kosong)") -> DataFrame:
     c = F.col(column).cast("string")
     return df.groupBy(F.when(blank(c), blank_name).otherwise(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))

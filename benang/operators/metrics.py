@@ -92,6 +92,13 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.select("n", po.alias("agreement"), F.try_divide(po - pe, 1 - pe).alias("kappa"))
 
 
+def agreement_matrix(df: DataFrame, a: str, b: str, labels: list[str] = LABELS) -> DataFrame:
+    """How often the first annotator's label met the second's, for every pair of the listed labels (0 where never)."""
+    met = df.where(F.col(a).isin(*labels) & F.col(b).isin(*labels)).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    cells = met.sparkSession.createDataFrame([(x, y) for x in labels for y in labels], "a string, b string")
+    return cells.join(met, ["a", "b"], "left").na.fill(0, ["n"])
+
+
 def gates(metrics: DataFrame, limits: dict[str, float] = GATES) -> DataFrame:
     """pass, fail or not_evaluated per gate; the limits themselves pass. Takes one row with macro_f1, least_recall,
     balanced_accuracy, val_macro_f1, test_macro_f1, n_leaks (null where unknown)."""

@@ -1,7 +1,7 @@
 """References to records that do not exist, from signed change deltas.
 
-Every change becomes a delta on the key it concerns: +1 reference where a record names the key, +1 existence
-where the key gets a record, -1 existence where it is removed. The counts per key are sums of deltas, so they can
+Every change becomes a delta on the key it concerns: +1 reference where a record names the key, -1 where a record is
+withdrawn or changed, +1 existence where the key gets a record, -1 existence where it is removed. The counts per key are sums of deltas, so they can
 be kept in a table and brought up to date by adding the counts of the new deltas (``merge_counts``). A key with
 positive references and no existence is an orphan.
 
@@ -32,12 +32,13 @@ def references(df: DataFrame, src_table: str, fields: list[str], time: str | Non
     )
 
 
-def reference_deltas(refs: DataFrame) -> DataFrame:
-    return refs.select(F.col("missing_id").alias("key"), F.lit(1).alias("refs"), F.lit(0).alias("rows"), F.lit(None).cast("struct<at:timestamp,removed:int>").alias("last"))
+def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
+    """+1 for each reference, -1 (``sign``) for each that is taken back."""
+    return refs.select(F.col("missing_id").alias("key"), F.lit(sign).alias("refs"), F.lit(0).alias("rows"), F.lit(None).cast("struct<at:timestamp,removed:int>").alias("last"))
 
 
-def existence_deltas(records: DataFrame) -> DataFrame:
-    return records.select(filled_id(F.col("tweet_id")).alias("key"), F.lit(0).alias("refs"), F.lit(1).alias("rows"), F.lit(None).cast("struct<at:timestamp,removed:int>").alias("last")).where(F.col("key").isNotNull())
+def existence_deltas(records: DataFrame, sign: int = 1) -> DataFrame:
+    return records.select(filled_id(F.col("tweet_id")).alias("key"), F.lit(0).alias("refs"), F.lit(sign).alias("rows"), F.lit(None).cast("struct<at:timestamp,removed:int>").alias("last")).where(F.col("key").isNotNull())
 
 
 def removal_deltas(log: DataFrame) -> DataFrame:
@@ -75,6 +76,21 @@ def orphans(refs: DataFrame, records: DataFrame, log: DataFrame) -> DataFrame:
     return refs.join(orphan_keys(counts(deltas)), "missing_id")
 
 
+def maintained(threads: DataFrame, pilot: DataFrame, log: DataFrame) -> DataFrame:
+    """The orphan keys of a state that is kept by two batches of changes: what was fetched before the middle of the time,
+    with the later references wrongly counted too; then their withdrawal, and the rest. Equal to the one-shot keys."""
+    refs = references(threads.select("tweet_id", "root_tweet_id", "in_reply_to_tweet_id", "captured_at"), "threads", ["root_tweet_id", "in_reply_to_tweet_id"])
+    middle = threads.agg(F.percentile_approx(F.unix_micros("captured_at"), F.lit(0.5))).first()[0] or 0
+    early = F.unix_micros("captured_at") < middle
+    late = threads.where(~F.coalesce(early, F.lit(False)))
+    late_refs = references(late, "threads", ["root_tweet_id", "in_reply_to_tweet_id"])
+    others = references(pilot, "pilot_raw", ["root_tweet_id"])
+    state = counts(reference_deltas(refs).unionByName(existence_deltas(threads.where(early))))
+    taken = counts(reference_deltas(late_refs, -1))
+    new = counts(reference_deltas(late_refs).unionByName(reference_deltas(others)).unionByName(existence_deltas(late)).unionByName(removal_deltas(log)))
+    return orphan_keys(merge_counts(merge_counts(state, taken), new))
+
+
 def found(threads: DataFrame, pilot: DataFrame, log: DataFrame) -> DataFrame:
     refs = references(threads, "threads", ["root_tweet_id", "in_reply_to_tweet_id"]).unionByName(references(pilot, "pilot_raw", ["root_tweet_id"]))
     return orphans(refs, threads, log).select("src_table", "tweet_id", "ref_field", "missing_id").distinct()

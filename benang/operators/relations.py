@@ -123,8 +123,8 @@ def with_checked_context(replies: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def orphan_replies(df: DataFrame) -> DataFrame:
-    """Reply rows whose root id is no root row's id."""
-    return df.where(F.col("hierarki_komentar") != ROOT).join(roots_of(df).select(F.col("tweet_id").alias("root_tweet_id")).distinct(), "root_tweet_id", "left_anti")
+    """Direct replies whose root id is no root row's id."""
+    return direct_replies(df).join(roots_of(df).select(F.col("tweet_id").alias("root_tweet_id")).distinct(), "root_tweet_id", "left_anti")
 
 
 def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

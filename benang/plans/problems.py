@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "p2_found": lambda s, d: orphans.found(t(s, d, "threads"), t(s, d, "pilot_raw"), t(s, d, "removal_log")),
         "p2_report": lambda s, d: orphans.report(t(s, d, "threads"), t(s, d, "pilot_raw"), t(s, d, "removal_log")),
+        "p2_maintained": lambda s, d: orphans.maintained(t(s, d, "threads"), t(s, d, "pilot_raw"), t(s, d, "removal_log")),
         "p6_found": lambda s, d: hierarchy.found(t(s, d, "threads")),
         "p6_paths": lambda s, d: hierarchy.paths(t(s, d, "threads")),
         "p6_descendants": lambda s, d: hierarchy.descendant_counts(hierarchy.paths(t(s, d, "threads"))),
@@ -53,6 +54,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_paths": P6_PATHS + "SELECT tweet_id, top, depth::BIGINT AS depth, ends, path FROM paths",
         "p6_descendants": P6_PATHS + ", steps AS (SELECT tweet_id, depth, unnest(string_split(path, '/')) AS ancestor, generate_subscripts(string_split(path, '/'), 1) - 1 AS pos FROM paths WHERE path IS NOT NULL) SELECT ancestor AS tweet_id, count(*) AS n_descendants, max(depth - pos) AS height FROM steps WHERE ancestor <> tweet_id GROUP BY 1",
         "p2_found": P2_REFS + "SELECT DISTINCT src_table, tweet_id, ref_field, missing_id FROM orphan",
+        "p2_maintained": P2_REFS + "SELECT DISTINCT missing_id FROM orphan",
         "p2_report": P2_REFS + "SELECT src_table, ref_field, period, count(*) AS n_refs, count(DISTINCT missing_id) AS n_missing FROM (SELECT DISTINCT * FROM orphan) GROUP BY ALL",
         "p6_found": P6_TREE + """
 SELECT start AS tweet_id, 'cycle' AS fault FROM up WHERE cur = start

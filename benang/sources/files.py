@@ -166,9 +166,11 @@ def latest_file(spark: SparkSession, folder: str) -> DataFrame:
     return files.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """A small result (at most 1,000 rows) as pretty JSON."""
-    data = [r.asDict(recursive=True) for r in rows.limit(1000).collect()]
+def write_report(rows: DataFrame, path: str, most: int = 1000) -> None:
+    """A small result as pretty JSON; refused where it has more than ``most`` rows."""
+    data = [r.asDict(recursive=True) for r in rows.limit(most + 1).collect()]
+    if len(data) > most:
+        raise ValueError(f"a report of more than {most} rows")
     with open(urlparse(path).path, "w", encoding="utf-8") as f:
         json.dump(data, f, ensure_ascii=False, indent=2, default=str)
 
