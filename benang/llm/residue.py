@@ -102,14 +102,17 @@ BLANKS = re.compile(r"[^\S\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\W\d_]+|\d+")
 CODE = re.compile(r"[45]\d\d")
+DIGIT = re.compile(r"\d")
 #: a line that begins with a status code and a separator
 STATUS = re.compile(r"\s*[45]\d\d\s*[|:—–-]")
 
 
-def repeated_run(words: list[str], least: int = 8) -> bool:
-    """A run of at least ``least`` words with at most three different ones, all said at least twice."""
+def repeated_run(words: list[str], least: int = 8, most: int = 3) -> bool:
+    """A run of ``least`` words with at most ``most`` different ones."""
+    if len(words) - len(set(words)) < least - most:
+        return False
     for i in range(0, len(words) - least + 1):
-        if len(set(words[i:i + least])) <= 3:
+        if len(set(words[i:i + least])) <= most:
             return True
     return False
 
@@ -131,19 +134,22 @@ def filler_run(words: list[str], least: int = 12) -> bool:
 def speech(segment: str, tokens: list[str]) -> tuple[int, int, int]:
     """Words, words of system speech, and the bits of their groups, of a segment and its lower-case tokens. A status
     code counts as a state, but is no word of its own; at the head of a status line it counts twice."""
-    n = k = bits = 0
-    if STATUS.match(segment):
-        k, bits = 1, THINGS
-    for t in tokens:
-        if t[0].isdigit():
-            if CODE.fullmatch(t):
-                k, bits = k + 1, bits | STATES
-            continue
-        n += 1
-        # names of errors are compound words: KeyError, NullPointerException
-        b = SPEECH.get(t) or (THINGS | STATES if t.endswith(("exception", "error")) else 0)
+    n, k, bits = len(tokens), 0, 0
+    for b in map(SPEECH.get, tokens):
         if b:
             k, bits = k + 1, bits | b
+    if DIGIT.search(segment):
+        numbers = [t for t in tokens if t[0].isdigit()]
+        codes = sum(CODE.fullmatch(t) is not None for t in numbers)
+        n, k = n - len(numbers), k + codes
+        if codes:
+            bits |= STATES
+        if STATUS.match(segment):
+            k, bits = k + 1, bits | THINGS
+    for t in tokens:
+        # names of errors are compound words: KeyError, NullPointerException
+        if t.endswith(("exception", "error")) and t not in SPEECH:
+            k, bits = k + 1, bits | THINGS | STATES
     return n, k, bits
 
 
@@ -155,19 +161,30 @@ def seeded(n: int, k: int, bits: int, density: float = Parameters.density) -> bo
     return k >= 2 and bits != THINGS and k >= (1.5 * density if bits == REQUESTS else density) * n
 
 
-def marks(segment: str) -> tuple[int, int]:
-    """Slots and blank forms of a segment."""
+#: every alternative of FORM, SURE_ABSENT and ABSENT holds one of these
+FORM_PARTS = (":", "=", "coret", "strike", "{}", "cetak", "capitals", "tangan)", "signature)")
+ABSENT_PARTS = ("[object Object]", "#N/A", "#REF!", "#VALUE!", "null", "undefined", "NaN", "None")
+
+
+def marks(segment: str, absent: bool = True) -> tuple[int, int]:
+    """Slots and blank forms of a segment; ``absent`` says whether its text holds any of ABSENT_PARTS."""
     slots = 0
     if not SIGNS.isdisjoint(segment):
         flat = BLANKS.sub(" ", segment)
         slots = len(STRONG.findall(flat))
-        slots = 0 if slots < 2 and TELLS_SLOT.search(flat) else slots
-    slots += len(SURE_ABSENT.findall(segment)) + (len(ABSENT.findall(segment)) >= 2)
-    return slots, int(FORM.search(segment) is not None)
+        slots = 0 if slots < 2 and slots and TELLS_SLOT.search(flat) else slots
+    if absent:
+        slots += len(SURE_ABSENT.findall(segment)) + (len(ABSENT.findall(segment)) >= 2)
+    low = segment.lower()
+    return slots, int(any(x in low for x in FORM_PARTS) and FORM.search(segment) is not None)
+
+
+def unmarked(text: str) -> str:
+    return MARKUP.sub(" ", text) if "<" in text or "&" in text else text
 
 
 def segments(text: str) -> list[str]:
-    return [s for s in SENTENCE.split(MARKUP.sub(" ", text)) if s and not s.isspace()]
+    return [s for s in SENTENCE.split(unmarked(text)) if s and not s.isspace()]
 
 
 def filler(text: str, words: list[str]) -> bool:
@@ -177,13 +194,8 @@ def filler(text: str, words: list[str]) -> bool:
 
 def detect(text: str) -> tuple[int, int, int, int]:
     """Counts of slots, forms, filler runs and seeds (segments of system speech) that are used, not told about."""
-    slots = forms = seeds = 0
-    for s in segments(text):
-        a, b = marks(s)
-        slots, forms = slots + a, forms + b
-        seeds += seeded(*speech(s, TOKEN.findall(s.lower()))) and not TELLS.search(s)
-    clean = BLANKS.sub(" ", MARKUP.sub(" ", text))
-    return slots, forms, int(filler(clean, [w.lower() for w in WORD.findall(clean)])), seeds
+    direct, _, _, parts = read(None, text, Parameters.density)
+    return *direct, sum(seed for *_, seed, _ in parts)
 
 
 def agreement(title: object, words: set[str]) -> str:
@@ -198,7 +210,7 @@ def agreement(title: object, words: set[str]) -> str:
 def terms(tokens: list[str], told: bool, title: str, size: int) -> list[str]:
     """What is weighed of a segment: words, pairs of words, and the evidence that is no word (after '=')."""
     w = ["0" if t[0].isdigit() else t for t in tokens]
-    return [*w, *[f"{a} {b}" for a, b in zip(w, w[1:])], f"=told{int(told)}", f"=title-{title}", f"=size{min(size, 511).bit_length()}"]
+    return [*w, *[f"{a} {b}" for a, b in zip(w, w[1:])], "=told" if told else "=used", f"=title-{title}", f"=size{min(size, 511).bit_length()}"]
 
 
 def fingerprint(segment: str) -> str:
@@ -208,18 +220,20 @@ def fingerprint(segment: str) -> str:
 
 
 def read(title: object, text: str, density: float):
-    """Of a document: (slots, forms, fillers), words, the title's agreement, and its segments as (text, tokens, told, seed, mark)."""
-    clean = BLANKS.sub(" ", MARKUP.sub(" ", text))
-    words = [w.lower() for w in WORD.findall(clean)]
+    """Of a document: (slots, forms, fillers), words, the title's agreement, and its segments as (text, tokens, told, seed,
+    mark). Only a segment with system speech can tell about it."""
     slots = forms = 0
-    parts = []
+    parts, words = [], []
+    absent = any(x in text for x in ABSENT_PARTS)
     for s in segments(text):
-        a, b = marks(s)
+        a, b = marks(s, absent)
         slots, forms = slots + a, forms + b
         tokens = TOKEN.findall(s.lower())
-        told = TELLS.search(s) is not None
-        parts.append((s, tokens, told, seeded(*speech(s, tokens), density) and not told, a + b > 0))
-    return (slots, forms, int(filler(clean, words))), words, agreement(title, set(words)), parts
+        n, k, bits = speech(s, tokens)
+        told = k > 0 and TELLS.search(s) is not None
+        parts.append((s, tokens, told, not told and seeded(n, k, bits, density), a + b > 0))
+        words += tokens if n == len(tokens) else [t for t in tokens if not t[0].isdigit()]
+    return (slots, forms, int(filler(BLANKS.sub(" ", unmarked(text)), words))), words, agreement(title, set(words)), parts
 
 
 def fit(docs: DataFrame, p: Parameters = Parameters()) -> odds.Odds:
