@@ -17,6 +17,7 @@ own; rows with a null doc_id are ignored; empty tables give empty results. Only
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections import defaultdict
@@ -38,6 +39,8 @@ SHARD_WORDS = 300_000
 OTHER, END = 1, 0
 #: changes a passage is extended over at a time, to each side
 STEP = 6
+#: changes a passage of fewer than thirty words can have
+PROBE = 4
 
 
 def fold(text: str) -> str:
@@ -140,10 +143,11 @@ class FMIndex:
 
 
 class Items:
-    """Evaluation items as word ids, and their phrases with where they stand."""
+    """A block of evaluation items as word ids, and their phrases with where they stand. Blocks share a vocabulary, so
+    that one index of a shard serves them all."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int):
-        self.vocab: dict[str, int] = {}
+    def __init__(self, rows: list[tuple[int, str]], seed: int, vocab: dict[str, int] | None = None):
+        self.vocab: dict[str, int] = {} if vocab is None else vocab
         self.seed = seed
         self.seqs: dict[int, np.ndarray] = {}
         for item, text in rows:
@@ -155,7 +159,11 @@ class Items:
                 where[tuple(seq[i:i + seed])].append((item, i))
         self.phrases = np.array(list(where), np.int64).reshape(-1, seed)
         self.where = list(where.values())
-        self.symbols = len(self.vocab) + 2
+
+    def without_vocab(self) -> Items:
+        """The block as it is handed out: the vocabulary goes once, beside all blocks."""
+        self.vocab = {}
+        return self
 
 
 def worst_cover(least: int, share: float, seed: int) -> int:
@@ -201,32 +209,55 @@ def reaches(doc: list[int], item: list[int], edits: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def passages(doc: np.ndarray, item: np.ndarray, runs: list[tuple[int, int, int]], least: int, slack: float) -> list[tuple[int, int]]:
+def supported(runs: list[tuple[int, int, int]], least: int, need: int) -> list[tuple[int, int, int]]:
+    """The runs round which runs near the same diagonal cover ``need`` words within the length of a shortest passage.
+    An acceptable passage of twice ``least`` words or more has an acceptable half, so the shortest acceptable part
+    round some of its runs has fewer words and PROBE changes at most."""
+    order = sorted(runs)
+    reach = 2 * least + PROBE
+    kept, low = set(), 0
+    longest = max((n for _, _, n in order), default=0)
+    for d, i, n in order:
+        while order[low][0] + longest < d - reach:
+            low += 1
+        covered = 0
+        for d2, i2, n2 in itertools.islice(order, low, None):
+            if d2 > d + n + reach or covered >= need:
+                break
+            if abs((i2 - d2) - (i - d)) <= PROBE and d2 + n2 >= d - reach:
+                covered += n2
+        if covered >= need:
+            kept.add((d, i, n))
+    return [r for r in runs if r in kept]
+
+
+def passages(doc: np.ndarray, item: np.ndarray, runs: list[tuple[int, int, int]], least: int, slack: float, need: int = 0) -> list[tuple[int, int]]:
     """Doc spans of the passages of ``item``: every unbroken stretch is extended over both ends and the longest
     extension of at least ``least`` words with few enough changes is taken, and extended again while it grows;
     stretches inside an accepted passage are spent, all others go on.
 
     A change is paid by 1 / ``slack`` matched words anywhere in the passage (0.2: five, which is one word in six).
-    STEP changes a side lose none: of a passage of twice ``least`` words or more one half has few enough changes
-    too. A passage whose first or last word was itself changed shows one word less, hence least - 1."""
+    A stretch is first extended over PROBE changes a side (see supported), an accepted passage over STEP at a time.
+    A passage whose first or last word was itself changed shows one word less, hence least - 1."""
     words, whole = item.tolist(), doc.tolist()
     margin = len(words) + STEP
     taken: list[tuple[int, int, int, int]] = []
-    for d, i, n in runs:
+    for d, i, n in supported(runs, least, need):
         if any(a <= d and d + n <= b and ia <= i and i + n <= ib for a, b, ia, ib in taken):
             continue
         a, b, ia, ib, core, changed, grown = d, d + n, i, i + n, n, 0, True
         accepted = False
         while grown:
-            left = reaches(whole[max(0, a - margin):a][::-1], words[:ia][::-1], STEP)
-            right = reaches(whole[b:b + margin], words[ib:], STEP)
+            edits_a_side = STEP if accepted else PROBE
+            left = reaches(whole[max(0, a - margin):a][::-1], words[:ia][::-1], edits_a_side)
+            right = reaches(whole[b:b + margin], words[ib:], edits_a_side)
             span_d, span_i, matched, edits = (left[:, None, c] + right[None, :, c] for c in range(4))
             span_d, span_i, matched, edits = span_d + b - a, span_i + ib - ia, matched + core, edits + changed
             good = (edits <= slack * matched + 1e-9) & ((span_i >= least) | ((span_i >= least - 1) & (matched >= least - 2)))
             if not good.any():
                 break
             at_l, at_r = np.unravel_index(int(np.where(good, span_d * 1_000 + matched, -1).argmax()), good.shape)
-            grown = bool(at_l or at_r)
+            grown = bool(at_l or at_r) or not accepted
             core, changed, accepted = int(matched[at_l, at_r]), int(edits[at_l, at_r]), True
             a, b, ia, ib = a - int(left[at_l, 0]), b + int(right[at_r, 0]), ia - int(left[at_l, 1]), ib + int(right[at_r, 1])
         if accepted:
@@ -257,13 +288,25 @@ def candidates(hits: list[tuple[int, int]], seed: int, need: int, window: int =
     return out
 
 
+class Shard:
+    """The FM-index of some documents (id, word ids), built once for all blocks of items."""
+
+    def __init__(self, docs: list[tuple[int, np.ndarray]], symbols: int):
+        self.docs = docs
+        self.starts = np.concatenate([[0], np.cumsum([len(d) + 1 for _, d in docs])])
+        self.index = FMIndex(np.concatenate([x for _, d in docs for x in (d, np.zeros(1, np.int64))]), symbols)
+
+
 def scan(docs: list[tuple[int, np.ndarray]], items: Items, least: int, slack: float, need: int) -> list[tuple]:
-    """Leaks (doc, item, first word, end word) of the documents of one shard."""
-    if not docs or not len(items.phrases):
+    """Leaks (doc, item, first word, end word) of documents: one shard, one block of items."""
+    return search(Shard(docs, len(items.vocab) + 2), items, least, slack, need) if docs else []
+
+
+def search(shard: Shard, items: Items, least: int, slack: float, need: int) -> list[tuple]:
+    """Leaks (doc, item, first word, end word) of a block of items in the documents of a shard."""
+    if not len(items.phrases):
         return []
-    seq = np.concatenate([x for _, d in docs for x in (d, np.zeros(1, np.int64))])
-    starts = np.concatenate([[0], np.cumsum([len(d) + 1 for _, d in docs])])
-    index = FMIndex(seq, items.symbols)
+    docs, starts, index = shard.docs, shard.starts, shard.index
     lo, hi = index.search(items.phrases)
     some = np.nonzero(hi > lo)[0]
     if not len(some):
@@ -285,7 +328,7 @@ def scan(docs: list[tuple[int, np.ndarray]], items: Items, least: int, slack: fl
         ranges = candidates(h, items.seed, need)
         if ranges:
             near = [x for x in h if any(first <= x[0] < last for first, last in ranges)]
-            for first, end in passages(docs[d][1], seq_i, runs_of(near, items.seed), least, slack):
+            for first, end in passages(docs[d][1], seq_i, runs_of(near, items.seed), least, slack, need):
                 found.append((docs[d][0], item, first, end))
     return found
 
@@ -294,36 +337,38 @@ LEAKS = "doc_id long, item_id long, first_word int, end_word int"
 
 
 def leaks(docs: DataFrame, evals: DataFrame, least: int = 15, slack: float = 0.2, seed: int = 3, need: int | None = None, block: int = 5_000) -> DataFrame:
-    """doc_id, item_id and the word span of each leaked passage. The items are the query set; they are taken in
-    blocks of ``block`` items, each block against all documents."""
+    """doc_id, item_id and the word span of each leaked passage. The items are the query set; they are handed out in
+    blocks of ``block`` items. A document is read and indexed once; each index is searched for one block after the other."""
     need = worst_cover(least, 1 / 6, seed) if need is None else need
-    rows = [(int(r[0]), r[1]) for r in evals.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator()]
-    blocks = [Items(rows[i:i + block], seed) for i in range(0, max(1, len(rows)), block)]
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    out = None
-    for items in blocks:
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            known = shared.value
-            held: list[tuple[int, np.ndarray]] = []
-            size = 0
-            for b in batches:
-                for doc, text in zip(b["doc_id"], b["text"]):
-                    w = words_of(text)
-                    if not w:
-                        continue
-                    ids = np.fromiter((known.vocab.get(x, OTHER) for x in w), np.int64, len(w))
-                    held.append((int(doc), ids))
-                    size += len(w) + 1
-                    if size >= SHARD_WORDS:
-                        yield pd.DataFrame(scan(held, known, least, slack, need), columns=["doc_id", "item_id", "first_word", "end_word"])
-                        held, size = [], 0
-            yield pd.DataFrame(scan(held, known, least, slack, need), columns=["doc_id", "item_id", "first_word", "end_word"])
-
-        part = texts.mapInPandas(run, LEAKS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = ((int(r[0]), r[1]) for r in evals.where("item_id is not null").select("item_id", "text").distinct().orderBy("item_id").toLocalIterator())
+    context = docs.sparkSession.sparkContext
+    vocab: dict[str, int] = {}
+    blocks = []
+    while part := list(itertools.islice(rows, block)):
+        blocks.append(context.broadcast(Items(part, seed, vocab).without_vocab()))
+    words = context.broadcast(vocab)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words.value
+
+        def leaked(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+            shard = Shard(held, len(known) + 2) if held else None
+            return pd.DataFrame([x for b in blocks if shard for x in search(shard, b.value, least, slack, need)], columns=["doc_id", "item_id", "first_word", "end_word"])
+
+        held, size = [], 0
+        for b in batches:
+            for doc, text in zip(b["doc_id"], b["text"]):
+                w = words_of(text)
+                if not w:
+                    continue
+                held.append((int(doc), np.fromiter((known.get(x, OTHER) for x in w), np.int64, len(w))))
+                size += len(w) + 1
+                if size >= SHARD_WORDS:
+                    yield leaked(held)
+                    held, size = [], 0
+        yield leaked(held)
+
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, LEAKS)
 
 
 def found(docs: DataFrame, evals: DataFrame) -> DataFrame:
