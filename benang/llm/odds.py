@@ -26,8 +26,7 @@ class Odds:
         self.prior, self.weights = prior, weights
 
     def of(self, terms) -> float:
-        get = self.weights.get
-        return self.prior + sum(get(t, 0.0) for t in terms)
+        return self.prior + sum(w for w in map(self.weights.get, terms) if w)
 
 
 def fit(rows: DataFrame, labelled: Callable[[pd.DataFrame], Iterator[tuple[list[str], float]]], least: int = 3, most_terms: int = 200_000, smooth: float = 0.5, most_prior: float = 0.1) -> Odds:

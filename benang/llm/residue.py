@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +39,7 @@ from benang.session import Scratch
 class Parameters:
     """fit_docs bounds the documents the log odds are fitted on; lift bounds what hosts can add or take."""
 
-    fit_docs: int = 50_000
+    fit_docs: int = 20_000
     lift: float = 6.0
     seed_bonus: float = 8.0
     density: float = 0.4
@@ -109,7 +110,8 @@ STATUS = re.compile(r"\s*[45]\d\d\s*[|:—–-]")
 
 def repeated_run(words: list[str], least: int = 8, most: int = 3) -> bool:
     """A run of ``least`` words with at most ``most`` different ones."""
-    if len(words) - len(set(words)) < least - most:
+    # among any most + 1 words of such a run one comes back
+    if not any(any(map(eq, words, words[k:])) for k in range(1, most + 1)):
         return False
     for i in range(0, len(words) - least + 1):
         if len(set(words[i:i + least])) <= most:
@@ -146,10 +148,12 @@ def speech(segment: str, tokens: list[str]) -> tuple[int, int, int]:
             bits |= STATES
         if STATUS.match(segment):
             k, bits = k + 1, bits | THINGS
-    for t in tokens:
+    low = segment.lower()
+    if "exception" in low or "error" in low:
         # names of errors are compound words: KeyError, NullPointerException
-        if t.endswith(("exception", "error")) and t not in SPEECH:
-            k, bits = k + 1, bits | THINGS | STATES
+        named = sum(t.endswith(("exception", "error")) and t not in SPEECH for t in tokens)
+        if named:
+            k, bits = k + named, bits | THINGS | STATES
     return n, k, bits
 
 
@@ -209,7 +213,7 @@ def agreement(title: object, words: set[str]) -> str:
 
 def terms(tokens: list[str], told: bool, title: str, size: int) -> list[str]:
     """What is weighed of a segment: words, pairs of words, and the evidence that is no word (after '=')."""
-    w = ["0" if t[0].isdigit() else t for t in tokens]
+    w = ["0" if t[0].isdigit() else t for t in tokens] if any(map(str.isdigit, tokens)) else tokens
     return [*w, *[f"{a} {b}" for a, b in zip(w, w[1:])], "=told" if told else "=used", f"=title-{title}", f"=size{min(size, 511).bit_length()}"]
 
 
