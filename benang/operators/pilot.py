@@ -91,9 +91,9 @@ def checked_ids(df: DataFrame) -> DataFrame:
 
 
 def hash_positions(df: DataFrame, by: list[str], h: Column, tie: str, name: str = "position") -> DataFrame:
-    """Row numbers from 1 within groups in the order of a hexadecimal hash. Ranks are taken in 256 ranges of the hash
+    """Row numbers from 1 within groups in the order of a hexadecimal hash. Ranks are taken in 4,096 ranges of the hash
     and added up, so that a hot group, or all rows, are not ordered in one task."""
-    inner = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 2))
+    inner = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
     inside = inner.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_range").orderBy("_h", tie)))
     per = inner.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     order = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy("_range").rowsBetween(W.unboundedPreceding, 0)

@@ -79,6 +79,36 @@ def durable_scan(spark: SparkSession, d: str) -> DataFrame:
     return relations.one_row(ids.agg(F.count(F.lit(1)).alias("n_ids")), invalid, queue.agg(F.count(F.lit(1)).alias("n_queue")))
 
 
+def id_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct ids of a CSV, and whether its header keeps the contract."""
+    path = f"{Scratch(spark).base}/csv"
+    files.write_csv(table(spark, d, "threads").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in relations.FIELDS]), path)
+    files.check_header(spark, path)
+    return files.read_csv(spark, path, relations.FIELDS, strict=True).select(I.normalize_id(F.col("tweet_id")).alias("tweet_id")).where("tweet_id <> ''").distinct()
+
+
+def lines_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Keywords written as lines and read again: trimmed, blank ones left out."""
+    path = f"{Scratch(spark).base}/lines"
+    files.write_lines(table(spark, d, "threads").select("keyword_matched").distinct().where("keyword_matched is not null"), "keyword_matched", path)
+    return files.read_lines(spark, path).distinct()
+
+
+def mapping_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{Scratch(spark).base}/mapping"
+    files.write_mapping(lexicon.valid_mapping(table(spark, d, "slang_map")), path)
+    return files.read_mapping(spark, path)
+
+
+def lexicons(spark: SparkSession, d: str) -> DataFrame:
+    """Two dictionaries of different form, written and read as one."""
+    base = Scratch(spark).base
+    words = lexicon.valid_mapping(table(spark, d, "slang_map"))
+    words.select(F.col("slang").alias("a"), F.col("kata_baku").alias("b"), F.lit("x").alias("c")).write.option("header", True).option("sep", "\t").option("quoteAll", True).option("escape", '"').csv(f"{base}/tsv")
+    files.write_csv(words.select("slang", "kata_baku"), f"{base}/csv")
+    return files.read_lexicons(spark, f"{base}/tsv", f"{base}/csv", ["a", "b", "c"], ["slang", "kata_baku"])
+
+
 def fit_predict(name: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         data = labelled(spark, d).where(F.col("a1").isin(*CATS)).select("tweet_id", "root_tweet_id", T.model_text(F.col("teks_komentar")).alias("text"), T.model_text(F.col("teks_root")).alias("root_text"), F.col("a1").alias("label"))
@@ -117,6 +147,10 @@ def queries() -> dict:
     q = {
         # sources and sinks
         "s1_durable_scan": durable_scan,
+        "s2_id_scan": id_scan,
+        "s10_lexicons": lexicons,
+        "s15_lines": lines_round_trip,
+        "k4_mapping": mapping_round_trip,
         "s4_import_rows": lambda s, d: relations.import_legacy(t(s, d, "legacy_import"), t(s, d, "threads"), 2).groupBy("status", "reject", "eligible").agg(F.count(F.lit(1)).alias("n")),
         "s5_dataset": lambda s, d: relations.normalized(t(s, d, "threads")).select("tweet_id", "root_tweet_id", "conversation_id", "in_reply_to_tweet_id", "jumlah_likes", "jumlah_view"),
         "s9_dictionary": lambda s, d: lexicon.mapping_rows(t(s, d, "slang_map")),
@@ -383,6 +417,10 @@ def oracle_sql() -> dict[str, str]:
     split_cte = POSTS_SQL + ", g AS (SELECT DISTINCT root_tweet_id AS g FROM posts WHERE root_tweet_id <> ''), r AS (SELECT g, (row_number() OVER (ORDER BY md5('42|' || g), g) - 1) / (count(*) OVER ())::DOUBLE AS at_ FROM g), parts AS (SELECT g AS root_tweet_id, CASE WHEN at_ < 0.7 THEN 'train' WHEN at_ < 0.85 THEN 'validation' ELSE 'test' END AS part FROM r)"
     sql = {
         "s1_durable_scan": f"WITH t AS (SELECT *, trim({txt('tweet_id')}) <> '' AND trim({txt()}) <> '' AND trim({txt('sumber_akuisisi')}) <> '' AND trim({txt('hierarki_komentar')}) <> '' AS ok FROM threads) SELECT count(DISTINCT tweet_id) FILTER (ok) AS n_ids, count(*) FILTER (NOT ok) AS invalid, count(*) FILTER (ok AND hierarki_komentar = 'Root_Tweet' AND coalesce(jumlah_reply, 0) >= 3) AS n_queue FROM t",
+        "s2_id_scan": f"SELECT DISTINCT {nid('tweet_id')} AS tweet_id FROM threads WHERE {nid('tweet_id')} <> ''",
+        "s10_lexicons": f"WITH {MAP_SQL} SELECT slang, kata_baku, 'tsv' AS source FROM vm UNION ALL SELECT slang, kata_baku, 'csv' FROM vm",
+        "s15_lines": "SELECT DISTINCT trim(keyword_matched) AS value FROM threads WHERE trim(keyword_matched) <> ''",
+        "k4_mapping": f"WITH {MAP_SQL} SELECT slang, kata_baku, frekuensi FROM vm",
         "s4_import_rows": f"WITH {IMPORT_SQL} SELECT status, reject, eligible, count(*) AS n FROM st2 GROUP BY ALL",
         "s5_dataset": f"WITH {N_SQL} SELECT tweet_id, root_tweet_id, conversation_id, in_reply_to_tweet_id, jumlah_likes, jumlah_view FROM n",
         "s9_dictionary": f"WITH {MAP_SQL} SELECT slang, kata_baku, frekuensi, problem FROM m2",

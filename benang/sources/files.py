@@ -139,6 +139,19 @@ def write_lines(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).cast("string")).write.mode("errorifexists").text(path)
 
 
+def uncommented(line: str) -> str:
+    """A line up to a # that follows a blank and stands in no quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"":
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1].isspace()):
+            return line[:i]
+    return line
+
+
 def read_rules(path: str) -> dict[str, list[str]]:
     """Category -> keywords from YAML-like text: either ``keywords:`` lists or flat lists; a missing file is {}.
 
@@ -149,8 +162,8 @@ def read_rules(path: str) -> dict[str, list[str]]:
     current = None
     with open(path, encoding="utf-8") as f:
         for line in f:
-            bare = line.split(" #")[0].rstrip()
-            if not bare.strip() or bare.lstrip().startswith("#"):
+            bare = uncommented(line).rstrip()
+            if not bare.strip():
                 continue
             if not bare[0].isspace() and bare.endswith(":"):
                 current = None if bare[0] in "#_" else bare[:-1].strip().strip("'\"")

@@ -271,3 +271,70 @@ def test_queue_seeds(spark):
     seeds = spark.createDataFrame([("123456", True), ("12", False), ("999999", True)], "seed_id string, valid boolean")
     queue = spark.createDataFrame([("999999", "k")], "tweet_id string, keyword_matched string")
     assert {tuple(r) for r in relations.queue_seeds(seeds, queue).collect()} == {("999999", "k"), ("123456", "MANUAL_SEED")}
+
+
+def test_reports_and_rules_keep_all(spark, tmp_path):
+    from benang.sources import files
+
+    with pytest.raises(ValueError):
+        files.write_report(spark.range(1001), str(tmp_path / "r.json"))
+    (tmp_path / "rules.yaml").write_text("# note:\nA:\n  - \'satu # dua\'  # kata\n  - tiga\n_B:\n  - empat\n")
+    assert files.read_rules(str(tmp_path / "rules.yaml")) == {"A": ["satu # dua", "tiga"]}
+
+
+def test_statistics_are_of_direct_replies(spark):
+    from benang.operators import audit, relations
+
+    rows = [("1", "1", "1", "", "Root_Tweet", "a"), ("2", "2", "2", "", "Root_Tweet", "a"), ("3", "1", "1", "1", "Direct_Reply", "b"), ("4", "1", "1", "1", "Direct_Reply", ""), ("5", "1", "1", "3", "Nested_Reply", "c"), ("6", "9", "9", "9", "Direct_Reply", "d"), ("7", "9", "9", "6", "Nested_Reply", "e")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "tweet_id string, root_tweet_id string, conversation_id string, in_reply_to_tweet_id string, hierarki_komentar string, teks_komentar string, n int")
+    a = audit.dataset_audit(df).first()
+    assert (a.total_rows, a.root_rows, a.direct_rows, a.nested_rows, a.roots_with_replies, a.orphans, a.missing_text, a.max) == (7, 2, 3, 2, 2, 1, 1, 2.0)
+    assert a.roots_ok and a.direct_ok and relations.orphan_replies(df).count() == 1
+
+
+def test_topic_and_domain_terms(spark):
+    from benang.functions import text as T
+
+    df = spark.createDataFrame([("Program MBG baik",), ("smbg",), ("makan \n bergizi",), ("makan gratis anak sekolah",), ("makan gratis",)], "t string")
+    assert [r[0] for r in df.select(T.relevant(df.t)).collect()] == [True, False, True, True, False]
+    assert spark.createDataFrame([("ini mbg untuk saya",)], "t string").select(T.drop_stopwords(F.col("t"))).first()[0] == "mbg"
+
+
+def test_classifiers_as_registered(spark):
+    from benang.operators import ml
+
+    assert ml.ALPHAS == (0.01, 0.03, 0.1, 0.3, 0.5, 1.0, 2.0)
+    rows = [(str(i), ["A", "B", "C"][i % 3], ["sayur enak gizi", "dana audit vendor", "paket telat kirim"][i % 3], "akar") for i in range(30)]
+    df = spark.createDataFrame(rows, "tweet_id string, label string, text string, root_text string")
+    got = {(r.experiment, r.alpha): r.macro_f1 for r in ml.run_experiments(df, df, ["E0", "E3", "E5", "E6", "Audit"], ["A", "B", "C"], (0.1, 1.0)).collect()}
+    assert set(got) == {("E0", None), ("Audit", None), *[(e, a) for e in ("E3", "E5", "E6") for a in (0.1, 1.0)]}
+    assert got["E0", None] == pytest.approx(1 / 6) and all(v == 1.0 for k, v in got.items() if k[0] != "E0")
+    terms = ml.characters("c", "text")[0].transform(spark.createDataFrame([("ab xyz",)], "text string")).first().c_terms
+    assert sorted(terms) == sorted([" ab", "ab ", " ab ", " xy", "xyz", "yz ", " xyz", "xyz ", " xyz "])
+    shares = {r.prediction: r.n for r in ml.stratified(df.unionByName(df)).groupBy("prediction").count().withColumnRenamed("count", "n").collect()}
+    assert sum(shares.values()) == 60 and set(shares) <= {"A", "B", "C"}
+
+
+def test_scratch_refuses_local_folders_on_clusters(spark, monkeypatch):
+    from benang import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        class _jsc:
+            class sc:
+                def getCheckpointDir(self):
+                    class No:
+                        def isDefined(self):
+                            return False
+                    return No()
+
+    class Fake:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Fake())
