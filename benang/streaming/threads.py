@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from benang.functions.text import good_quality, language_matches
@@ -21,8 +22,6 @@ def discovery_reason(df: DataFrame, required_language: str = "in") -> Column:
 
 def discover(df: DataFrame, seen: DataFrame | None = None, required_language: str = "in") -> DataFrame:
     """Records with ``reason``: dedup first (seen before, or a repeat in the batch: the earliest fetch stays)."""
-    from pyspark.sql import Window as W
-
     n = with_level(df)
     rn = F.row_number().over(W.partitionBy("tweet_id").orderBy("captured_at", "root_tweet_id", "jumlah_likes"))
     n = n.withColumn("repeat", rn > 1)
@@ -44,32 +43,33 @@ def deferred(df: DataFrame) -> DataFrame:
 RELEASED = "tweet_id string, root_tweet_id string"
 
 
-def release(key, batches, state):
-    """Replies of one root: held until a verified root row has come, passed on from then on."""
-    import pandas as pd
-
-    verified, held = state.get if state.exists else (False, [])
-    held = list(held)
-    for b in batches:
-        verified = verified or bool(b["root_ok"].any())
-        held += b.loc[b["reply"], "tweet_id"].tolist()
-    state.update((verified, [] if verified else held))
-    if verified and held:
-        yield pd.DataFrame({"tweet_id": held, "root_tweet_id": [key[0]] * len(held)})
-
-
 def stream_deferred(spark: SparkSession, source: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """The deferred replies of a stream of files: what came before its root is released when the root comes."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    """The deferred replies of a stream of files: what came before its root is released when the root comes.
 
+    Each batch writes one table of its rows and those kept: what is released, and what is kept for the next, one row of
+    each verified root and each reply still held. Repeats of a post over batches are taken out as the result is read."""
     scratch = Scratch(spark)
-    out, mark = f"{scratch.base}/released", f"{scratch.base}/mark"
-    n = with_level(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)).where("root_tweet_id <> ''")
-    ok = (F.col("level") == ROOT) & is_root(F.col("teks_komentar"), F.col("tweet_id"), F.col("conversation_id"), F.col("in_reply_to_tweet_id"))
-    rows = n.select("tweet_id", "root_tweet_id", ok.alias("root_ok"), F.col("level").isin(DIRECT, NESTED).alias("reply")).where("root_ok or reply").dropDuplicates(["tweet_id", "root_tweet_id", "root_ok"])
-    done = rows.groupBy("root_tweet_id").applyInPandasWithState(release, RELEASED, "verified boolean, held array<string>", "append", GroupStateTimeout.NoTimeout)
-    done.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(RELEASED).parquet(out)
+    nothing = spark.createDataFrame([], RELEASED)
+    kept = [nothing.withColumn("reply", F.lit(True))]
+    written: list[str] = []
+
+    def step(batch: DataFrame, number: int) -> None:
+        n = with_level(batch)
+        ok = (F.col("level") == ROOT) & is_root(F.col("teks_komentar"), F.col("tweet_id"), F.col("conversation_id"), F.col("in_reply_to_tweet_id"))
+        # written before it is filtered: filters move below the projection and would work the ids out once for each mention
+        rows = scratch.save(n.select("tweet_id", "root_tweet_id", F.col("level").isin(DIRECT, NESTED).alias("reply"), ok.alias("root_ok")))
+        known = kept[0].unionByName(rows.where("reply or root_ok").drop("root_ok")).repartition("root_tweet_id").dropDuplicates(["root_tweet_id", "tweet_id", "reply"])
+        waits = F.bool_and("reply").over(W.partitionBy("root_tweet_id"))
+        out = scratch.save(known.withColumn("released", F.col("reply") & ~waits))
+        kept[0] = out.where("not released").drop("released")
+        written.append(scratch.paths[id(out)])
+        scratch.drop(rows)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream.writeStream.option("checkpointLocation", f"{scratch.base}/mark").trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    if not written:
+        return nothing
+    return spark.read.schema(f"{RELEASED}, reply boolean, released boolean").parquet(*written).where("released").select("tweet_id", "root_tweet_id").distinct()
 
 
 def quota(df: DataFrame, target: int, order: list[str]) -> DataFrame:

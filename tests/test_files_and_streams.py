@@ -123,3 +123,25 @@ def test_replies_wait_for_their_root(spark, tmp_path):
     put([("4", "1", "1", "1", "balasan"), ("2", "1", "1", "1", "balasan")])
     got = sorted(r.tweet_id for r in streams.stream_deferred(spark, src, schema).collect())
     assert got == ["2", "3", "4"]
+
+
+def test_deferred_stream_is_cheap_by_batch(spark, tmp_path):
+    src = str(tmp_path / "src")
+    schema = "tweet_id string, root_tweet_id string, conversation_id string, in_reply_to_tweet_id string, teks_komentar string"
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+
+    put([("2", "1", "1", " 1", "balasan"), ("2", "1", "1", "1", "balasan"), ("5", "", "", "1", "tanpa benang"), ("7", "6", "6", "6", "akar salah")])
+    put([(" 1", "1", "1", "None", "akar"), ("6", "6", "6", None, "RT @a akar"), ("3", "1", "1", "2", "balasan")])
+    put([("1", "1", "1", "", "akar"), ("2", "1", "1", "1", "balasan"), ("4", "1", "1", "1", "balasan"), ("9", "8", "8", "8", "tanpa akar")])
+    before, tasks = spark.conf.get("spark.sql.shuffle.partitions"), spark.sparkContext._jsc.sc().taskScheduler().nextTaskId
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        started = tasks()
+        got = sorted((r.tweet_id, r.root_tweet_id) for r in streams.stream_deferred(spark, src, schema).collect())
+        started = tasks() - started
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == [("2", "1"), ("3", "1"), ("4", "1")]
+    assert started < 200, started  # three batches; a state store has a task for each shuffle partition in each of them
